@@ -9,13 +9,15 @@ threshold. Documents of equal sets form a class, and one of them searches for al
    with a part in common are candidates. That is exact: no pair that links is missed. Parts
    of several grams seldom agree by chance, even between documents that share passages.
 2. Part hashes are range-partitioned with the class as a second key, so a part that very many
-   classes share spreads over partitions; each run of a part is chained to its first class,
-   runs that cross a border are joined by their firsts. Chains make blocks.
+   classes share spreads over partitions; each run of a part names its first class the pivot
+   of all its classes, and runs that cross a border share one pivot. All classes of a pivot
+   are a block; classes that link have a pivot in common. (Blocks aren't chained any further:
+   chains of chance agreements would grow with the corpus.)
 3. In a block, inverted lists of grams are searched for every class: the longest lists are set
    aside, the short ones merged, and candidates with enough occurrences probe the long lists
-   by binary search; what reaches the required overlap is a link. Blocks beyond
-   ``block_grams`` are split: each part is the index of one task, through which all the
-   block's classes stream as queries.
+   by binary search; what reaches the required overlap is a link. A link that several blocks
+   find counts in that of the smallest common pivot. Blocks beyond ``block_grams`` are split:
+   each share is the index of one task, through which all the block's classes stream.
 
 Only classes in blocks ever move with their sets. Links give components, whose id is the
 smallest document id.
@@ -45,7 +47,7 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 BAND, SLACK = 1.5, 0.06
 #: Rows up to which a table of ids is sent to every task (16 bytes a row).
 BROADCAST_ROWS = 1_000_000
-BLOCK_GRAMS = 4_000_000
+BLOCK_GRAMS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -105,7 +107,8 @@ class Threshold:
         if not n:
             return np.zeros(0, np.uint64)
         band = int(np.searchsorted(self.bands, n, "right")) - 1
-        mixed, out = _mixed(own), []
+        # In the own band partners may be larger; in lower ones they are below its border.
+        mixed, out, most = _mixed(own), [], self.differ(n)
         while band >= 0:
             if m := self.parts(band):
                 part = ((mixed >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
@@ -115,10 +118,12 @@ class Threshold:
                 filled = np.bincount(part, minlength=m) > 0
                 # With more filled parts than differing grams, one that agrees is filled;
                 # otherwise it may be an empty one, and those are emitted as well.
-                out.append(tokens[filled] if int(filled.sum()) > self.differ(n) else tokens)
+                out.append(tokens[filled] if int(filled.sum()) > most else tokens)
             band -= 1
-            if band < 0 or self.num * n > self.den * (self.bands[band + 1] - 1):
+            border = self.bands[band + 1] - 1
+            if band < 0 or self.num * n > self.den * border:
                 break
+            most = (n + border) * (self.den - self.num) // (self.den + self.num)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -187,42 +192,62 @@ class _Roots:
         self.root[max(i, j)] = min(i, j)
 
 
-def _search_block(index: list[tuple], queries: Iterator[tuple] | None, threshold: Threshold) -> Iterator[tuple[int, int, int]]:
-    """(node, smallest node of its local component, documents linked with it) of a block.
-    index and queries: (node, documents of the class, set); without queries the index asks."""
-    index = sorted(index, key=lambda r: r[0])
-    nodes, weights = [r[0] for r in index], np.array([r[1] for r in index], np.int64)
-    inverted = Index([r[2] for r in index], threshold)
+class Member:
+    """A class in a block: its node, documents, set, and the pivots of all its blocks."""
+
+    __slots__ = ("node", "weight", "own", "pivots")
+
+    def __init__(self, node: int, weight: int, own: bytes, pivots: list[int]) -> None:
+        self.node, self.weight, self.own = node, weight, np.frombuffer(own, np.uint64)
+        self.pivots = sorted(pivots)
+
+
+def _search_block(
+    pivot: int, index: list[Member], queries: Iterator[Member] | None, threshold: Threshold
+) -> Iterator[tuple[int, int, int]]:
+    """(node, a node that it links with or itself, documents linked with it) of a block; what
+    has no link is left out. Without queries the members ask themselves."""
+    weights = np.array([m.weight for m in index], np.int64)
+    leads = np.array([m.pivots[0] == pivot for m in index])
+    inverted = Index([m.own for m in index], threshold)
     roots = _Roots(len(index))
-    if queries is None:
-        counted = []
-        for i, (_, _, own) in enumerate(index):
-            found, _ = inverted.search(own)
-            counted.append(int(weights[found].sum()) - int(weights[i]))
-            for j in found.tolist():
-                roots.join(i, j)
-        for i, node in enumerate(nodes):
-            yield node, nodes[roots.find(i)], counted[i]
-        return
-    place = {node: i for i, node in enumerate(nodes)}
-    for node, weight, own in queries:
-        found, _ = inverted.search(own)
-        mine = place.get(node)
-        links = int(weights[found].sum()) - (weight if mine is not None else 0)
+    place = {m.node: i for i, m in enumerate(index)}
+
+    def ask(q: Member) -> tuple[int | None, np.ndarray, int]:
+        found, _ = inverted.search(q.own)
+        mine = place.get(q.node)
+        if mine is not None:
+            found = found[found != mine]
+        if not len(found):
+            return mine, found, 0
+        if q.pivots[0] == pivot:
+            return mine, found, int(weights[found].sum())
+        # Links that a block of a smaller common pivot counts are not counted again.
+        sure = leads[found]
+        count, others = int(weights[found[sure]].sum()), set(q.pivots)
+        for j in found[~sure].tolist():
+            if next(p for p in index[j].pivots if p in others) == pivot:
+                count += index[j].weight
+        return mine, found, count
+
+    links: dict[int, int] = {}
+    for q in index if queries is None else queries:
+        mine, found, count = ask(q)
+        if not len(found):
+            continue
         if mine is not None:
             for j in found.tolist():
                 roots.join(mine, j)
-            yield node, node, links
+            links[mine] = count
         else:
-            # A query from another part: one edge to each local component it meets.
-            firsts = {roots.find(j) for j in found.tolist()}
-            yield node, node, links
-            for j in firsts:
-                yield node, nodes[j], 0
-    for i, node in enumerate(nodes):
-        yield node, nodes[roots.find(i)], 0
-
-
+            # A query from another share: one edge to each local component it meets.
+            yield q.node, q.node, count
+            for j in {roots.find(j) for j in found.tolist()}:
+                yield q.node, index[j].node, 0
+    for i, m in enumerate(index):
+        label = index[roots.find(i)].node
+        if label != m.node or i in links:
+            yield m.node, label, links.get(i, 0)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -284,25 +309,22 @@ def link_documents(
         .select(F.explode("parts").alias("part"), F.col("_rid").alias("node"))
     )
     pairs = _chains(emitted, partitions(spark))
-    blocks = components(pairs).select("node", F.col("label").alias("block"))
+    # A pivot's block holds the pivot and all that were chained to it.
+    blocks = checkpointed(
+        pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node"))).distinct()
+    )
     sized = blocks.join(classes.select("node", "n", "weight"), "node")
-    shares = sized.groupBy("block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("shares"))
-    placed = checkpointed(sized.join(shares, "block").drop("n"))
-
-    n_placed, split = placed.agg(F.count(F.lit(1)), F.max("shares")).first()
-    if n_placed:
-        linked = _search(source, placed, n_placed, threshold, words, partitions(spark))
-        counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
-        local = linked.where("node <> label")
-        if split > 1:
-            # Only split blocks have edges that cross tasks.
-            labels = components(local.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        else:
-            labels = linked.select("node", "label")
-        smallest = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("cid"))
-        found = counts.join(labels.join(smallest, "label").select("node", "cid"), "node", "left")
-    else:
-        found = classes.select("node", F.lit(0).cast("long").alias("links"), "rep").limit(0).withColumnRenamed("rep", "cid")
+    shares = sized.groupBy("a").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("shares"))
+    placed = checkpointed(
+        sized.join(shares, "a")
+        .groupBy("node", "weight")
+        .agg(F.collect_list(F.struct(F.col("a").alias("pivot"), "shares")).alias("blocks"))
+    )
+    linked = _search(source, placed, blocks.count(), threshold, words, partitions(spark))
+    counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    smallest = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("cid"))
+    found = labels.join(smallest, "label").select("node", "cid").join(counts, "node", "left")
     per_node = classes.select("node", "rep", "weight").join(found, "node", "left").select(
         "node",
         F.least("rep", "cid").alias("component_id"),
@@ -364,29 +386,26 @@ def _chains(emitted: DataFrame, tasks: int) -> DataFrame:
 
 def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Threshold, words: int, tasks: int) -> DataFrame:
     """(node, label, links) from the T-occurrence search of every block."""
-    wanted = placed.select(F.col("node").alias("_rid"), "block", "weight", "shares")
-    texts = source.join(_small(wanted, n_placed), "_rid").select("_rid", "block", "weight", "shares", "_text")
-    # A class may stand in several identical rows where ids repeat; one suffices.
+    wanted = placed.select(F.col("node").alias("_rid"), "weight", "blocks")
+    texts = source.join(_small(wanted, n_placed), "_rid").select("_rid", "weight", "blocks", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [grams(t, words).tobytes() for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(own, pa.large_binary()).cast(pa.binary())], ["node", "block", "weight", "shares", "own"]
-            )
+            own = pa.array([grams(t, words).tobytes() for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own], ["node", "weight", "blocks", "own"])
 
-    made = texts.mapInArrow(sets, "node long, block long, weight long, shares int, own binary")
-    share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
+    made = texts.mapInArrow(sets, "node long, weight long, blocks array<struct<pivot:long,shares:int>>, own binary")
+    share = F.pmod(F.xxhash64("node"), F.col("b.shares")).cast("int")
     # Blocks of one share: one row. Split blocks: the index row in its share, and a query row
     # (role 1) in every share.
-    places = F.when(F.col("shares") == 1, F.array(F.struct(F.lit(0).alias("share"), F.lit(0).alias("role")))).otherwise(
-        F.concat(
-            F.array(F.struct(share.alias("share"), F.lit(0).alias("role"))),
-            F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda s: F.struct(s.alias("share"), F.lit(1).alias("role"))),
-        )
+    place = lambda s, role: F.struct(s.alias("share"), F.lit(role).alias("role"))
+    places = F.when(F.col("b.shares") == 1, F.array(place(F.lit(0), 0))).otherwise(
+        F.concat(F.array(place(share, 0)), F.transform(F.sequence(F.lit(0), F.col("b.shares") - 1), lambda s: place(s, 1)))
     )
-    spread = made.withColumn("p", F.explode(places)).select(
-        "block", F.col("p.share").alias("share"), F.col("p.role").alias("role"), "node", "weight", "shares", "own"
+    spread = (
+        made.select("node", "weight", F.col("blocks.pivot").alias("pivots"), "own", F.explode("blocks").alias("b"))
+        .withColumn("p", F.explode(places))
+        .select(F.col("b.pivot").alias("block"), "p.share", "p.role", "node", "weight", "own", "pivots")
     )
     dealt = spread.repartition(tasks, "block", "share").sortWithinPartitions("block", "share", "role", "node")
 
@@ -405,29 +424,28 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
         stream = rows()
         row = next(stream, None)
         while row is not None:
-            key, index, seen = row[:2], [], set()
+            key, index = row[:2], {}
+            # Where ids repeat, a class may stand in several equal rows; one will do.
             while row is not None and row[:2] == key and row[2] == 0:
-                if row[3] not in seen:
-                    seen.add(row[3])
-                    index.append((row[3], row[4], np.frombuffer(row[6], np.uint64)))
+                index.setdefault(row[3], Member(*row[3:]))
                 row = next(stream, None)
-            if row is not None and row[:2] == key:
-
-                def queries() -> Iterator[tuple]:
-                    nonlocal row
-                    before = None
-                    while row is not None and row[:2] == key:
-                        if row[3] != before:
-                            yield row[3], row[4], np.frombuffer(row[6], np.uint64)
-                        before = row[3]
-                        row = next(stream, None)
-
-                if index:
-                    found = _search_block(index, queries(), threshold)
-                else:
-                    found = ((node, node, 0) for node, _, _ in queries())
+
+            def queries(key: tuple = key) -> Iterator[Member]:
+                nonlocal row
+                before = None
+                while row is not None and row[:2] == key:
+                    if row[3] != before:
+                        yield Member(*row[3:])
+                    before = row[3]
+                    row = next(stream, None)
+
+            split = row is not None and row[:2] == key
+            if index:
+                found = _search_block(key[0], list(index.values()), queries() if split else None, threshold)
             else:
-                found = _search_block(index, None, threshold)
+                found = ()
+                for _ in queries():
+                    pass
             for one in found:
                 out.append(one)
                 if len(out) >= 50_000:
