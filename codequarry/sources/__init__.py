@@ -1,0 +1 @@
+"""Where relations come from: repositories, folders, workspaces, configuration, diffs, logs."""

@@ -1,0 +1 @@
+"""Incremental work: an index that follows a repository, and anchors from a running log."""
