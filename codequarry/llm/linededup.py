@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, own_columns, partitions
+from .common import ascii_lower, checkpointed, own_columns, partitions
 
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -60,7 +60,8 @@ def keep_bitmaps(
 ) -> DataFrame:
     """(_id, _t, words) of each document that loses lines. Bit b of word w says whether line
     64 w + b is kept; words of which every line is kept are left out."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    # Hashes of lines, read three times below; splitting and normalising texts costs far more.
+    lines = checkpointed(_lines(docs, id_col, text_col, min_chars))
     record = ("_h", "_g", "_id", "_t")
     ordered = lines.repartitionByRange(partitions(docs.sparkSession), *record)
     first = F.row_number().over(Window.partitionBy(*record).orderBy("_pos")) == 1
