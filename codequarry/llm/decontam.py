@@ -145,22 +145,26 @@ def mark_contaminated(
     )
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = _Scanner(blocks)
+        # Few texts at a time are held as words; with several automata, as many as make
+        # building each again worth it.
+        step = 16 if len(blocks) == 1 else 2048
         for series in batches:
-            texts = series.tolist()
-            words = [words_of(t) for t in texts]
             rows = []
-            for text, own, (hit, items) in zip(texts, words, scanner.scan(words), strict=True):
-                ids = sorted(str(i) for i in items if i is not None)
-                rows.append(
-                    (
-                        len(own),
-                        len(hit),
-                        len(items),
-                        hashlib.sha256(",".join(ids).encode()).hexdigest(),
-                        bool(hit) and min_share * len(hit) >= len(own),
-                        [{"start": a, "end": b} for a, b in _spans(text, hit)] if hit and with_spans else [],
+            for at in range(0, len(series), step):
+                texts = series.iloc[at : at + step].tolist()
+                words = [words_of(t) for t in texts]
+                for text, own, (hit, items) in zip(texts, words, scanner.scan(words), strict=True):
+                    ids = sorted(str(i) for i in items if i is not None)
+                    rows.append(
+                        (
+                            len(own),
+                            len(hit),
+                            len(items),
+                            hashlib.sha256(",".join(ids).encode()).hexdigest(),
+                            bool(hit) and min_share * len(hit) >= len(own),
+                            [{"start": a, "end": b} for a, b in _spans(text, hit)] if hit and with_spans else [],
+                        )
                     )
-                )
             yield pd.DataFrame(rows, columns=[*MADE, "contaminated_spans"])
 
     made = [*MADE, *(["contaminated_spans"] if with_spans else [])]

@@ -55,18 +55,18 @@ def token_pieces(
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,crc:long>>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = tokenizer(vocabulary).ids
-        for texts in batches:
-            rows = []
-            for text in texts.tolist():
-                ids = encode(text or "") + end
-                rows.append(
-                    [
-                        {"piece": k, "start": s, "length": n, "crc": zlib.crc32(ids[4 * s : 4 * (s + n)])}
-                        for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))
-                    ]
-                )
-            yield pd.Series(rows)
+        with tokenizer(vocabulary) as tok:
+            for texts in batches:
+                rows = []
+                for text in texts.tolist():
+                    ids = tok.ids(text or "") + end
+                    rows.append(
+                        [
+                            {"piece": k, "start": s, "length": n, "crc": zlib.crc32(ids[4 * s : 4 * (s + n)])}
+                            for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))
+                        ]
+                    )
+                yield pd.Series(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.explode(pieces(F.col(text_col))).alias("p")).select(
         "_id", "p.piece", "p.start", "p.length", F.col("p.crc").alias("ids_crc32")

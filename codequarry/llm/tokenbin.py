@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, partitions
-from .tokens import public_path, tokenizer
+from .tokens import FastTokenizer, public_path, tokenizer
 
 MAGIC = b"CQTB0001"
 #: Ids of a block at most, unless one document has more.
@@ -175,8 +175,11 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start = TaskContext.get().partitionId(), 0
-        tok = tokenizer(vocabulary)
+        with tokenizer(vocabulary) as tok:
+            yield from blocks_of(batches, tok, TaskContext.get().partitionId())
+
+    def blocks_of(batches: Iterator[pa.RecordBatch], tok: FastTokenizer, part: int) -> Iterator[pa.RecordBatch]:
+        start = 0
         width = 2 if max(tok.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
 
         def block(rows: list[tuple]) -> pa.RecordBatch:

@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-#: Distinct pieces that a worker keeps: about 150 MB.
-KEPT_PIECES = 600_000
+#: Distinct pieces that a task keeps, about 150 MB. Between tasks a worker keeps the short ones,
+#: which recur most.
+KEPT_PIECES, SHORT = 600_000, 8
 
 # Beyond U+024F, or control separators that engines class differently.
 _BEYOND = re.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -118,12 +121,22 @@ class FastTokenizer:
 _held: dict[str, FastTokenizer] = {}
 
 
-def tokenizer(path: str) -> FastTokenizer:
-    """The worker's tokenizer of this file; workers outlive tasks, so pieces are reused."""
+@contextmanager
+def tokenizer(path: str) -> Iterator[FastTokenizer]:
+    """The worker's tokenizer of this file, for one task. Workers outlive tasks and serve
+    other operators as well, so the rarer pieces that a task has gathered go at its end."""
     if path not in _held:
         _held.clear()
         _held[path] = FastTokenizer(path)
-    return _held[path]
+    own = _held[path]
+    try:
+        yield own
+    finally:
+        for pieces in (own.first, own.later):
+            short = {p: ids for p, ids in pieces.items() if len(p) <= SHORT}
+            pieces.clear()
+            if len(short) <= KEPT_PIECES // 2:
+                pieces.update(short)
 
 
 def public_path(name: str) -> str:
