@@ -54,8 +54,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def own_columns(df: DataFrame, made: list[str]) -> list[str]:
-    """Columns of ``df`` that an output keeps beside those it makes: a made name wins over
-    an input column of the same name (compared without case, as Spark resolves names)."""
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as the struct ``_row``, so that an operator's own names can't
+    clash with any of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def row_columns(df: DataFrame, made: list[str] | tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` out of ``_row`` again, without those that the operator makes: a
+    made name wins over an input column of that name (compared without case, as Spark does)."""
     taken = {m.lower() for m in made}
-    return [c for c in df.columns if c.lower() not in taken]
+    return [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c.lower() not in taken]

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import row_columns, whole_row
 
 #: What a byte of UTF-8 becomes. Word characters: [^\x00-\x2F\x3A-\x60\x7B-\x7F] of the lower-cased text.
 _TO = bytes(
@@ -168,21 +168,15 @@ def mark_contaminated(
             yield pd.DataFrame(rows, columns=[*MADE, "contaminated_spans"])
 
     made = [*MADE, *(["contaminated_spans"] if with_spans else [])]
-    return docs.withColumn("_scan", scan(F.col(text_col))).select(
-        *(F.col(c) for c in own_columns(docs, made)), *(F.col(f"_scan.{m}").alias(m) for m in made)
+    return docs.select(whole_row(docs), scan(F.col(text_col)).alias("_scan")).select(
+        *row_columns(docs, made), *(F.col(f"_scan.{m}").alias(m) for m in made)
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns alone."""
-    keep = docs.columns
-    # The verdict gets a name that no column of the input has.
-    flag = "_contaminated"
-    while flag.lower() in {c.lower() for c in keep}:
-        flag = "_" + flag
-    text = options.get("text_col", "text")
+    text = options.pop("text_col", "text")
     judged = mark_contaminated(
-        docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.col(f"`{text}`").alias(text)),
-        benchmark, with_spans=False, **options,
+        docs.select(whole_row(docs), F.col(text).alias("_text")), benchmark, text_col="_text", with_spans=False, **options
     )
-    return judged.where(~F.col("contaminated")).select(*(F.col(f"_row.`{c}`").alias(c) for c in keep))
+    return judged.where(~F.col("contaminated")).select(*row_columns(docs))

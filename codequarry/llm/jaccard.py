@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, partitions
+from .common import LOWER, UPPER, checkpointed, partitions, row_columns, whole_row
 from .components import components
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -463,4 +463,5 @@ def drop_near_copies(
     smaller id: of each component one document stays. All columns are kept."""
     found = link_documents(docs, words, similarity, id_col, text_col)
     gone = checkpointed(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(_small(gone, gone.count()), docs[id_col] == F.col("_gone"), "left_anti")
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("_gone"))
+    return rows.join(_small(gone, gone.count()), "_gone", "left_anti").select(*row_columns(docs))

@@ -25,9 +25,8 @@ def training_rows(
         .limit(limit)
     )
     # At most `limit` pairs of numbers, whatever the tables' size.
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(
-        F.coalesce(docs[text_col], F.lit("")).alias("_text"), "_y"
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return texts.join(F.broadcast(chosen), "_id").select("_text", "_y")
 
 
 def sigmoid(x: Column) -> Column:

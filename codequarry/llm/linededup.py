@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, checkpointed, own_columns, partitions
+from .common import ascii_lower, checkpointed, partitions, row_columns, whole_row
 
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,7 +35,7 @@ def _key(line: Column) -> Column:
 def _with_record(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with ``_id``, and ``_t``: a hash that tells rows of the same id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_id", F.col(id_col)).withColumn("_text", text).withColumn("_t", F.xxhash64("_text"))
+    return docs.select(whole_row(docs), F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_t", F.xxhash64("_text"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -114,7 +114,7 @@ def dedup_lines(
     )
     made = [text_col, "n_lines", "n_dropped"]
     return shown.select(
-        *own_columns(docs, made),
+        *row_columns(docs, made),
         F.when(F.col("words").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(lines, is_kept), "\n")).alias(text_col),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(lost, F.lit(0).cast("long")).alias("n_dropped"),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_columns
+from .common import row_columns, whole_row
 from .labelled import id_crc, sigmoid, training_rows
 
 STATS = (
@@ -205,9 +205,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) ->
 def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score and predicted."""
     made = ["score", "predicted"]
-    rated = docs.withColumn("_stats", text_statistics(F.col(text_col))).withColumn("_score", model.column("_stats"))
+    rated = docs.select(whole_row(docs), text_statistics(F.col(text_col)).alias("_stats")).withColumn("_score", model.column("_stats"))
     return rated.select(
-        *(F.col(c) for c in own_columns(docs, made)),
+        *row_columns(docs, made),
         F.col("_score").alias("score"),
         F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
@@ -216,5 +216,5 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text",
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
     model = fit_quality(docs, labels)
-    rated = docs.withColumn("_stats", text_statistics(F.col("text")))
-    return rated.where(model.column("_stats") >= threshold).drop("_stats")
+    rated = docs.select(whole_row(docs), text_statistics(F.col("text")).alias("_stats"))
+    return rated.where(model.column("_stats") >= threshold).select(*row_columns(docs))

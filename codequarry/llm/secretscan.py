@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import row_columns, whole_row
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -176,6 +176,6 @@ def scan_secrets(
                 )
             yield pd.DataFrame(rows, columns=list(MADE))
 
-    return docs.withColumn("_scan", scan(F.col(text_col))).select(
-        *(F.col(c) for c in own_columns(docs, list(MADE))), *(F.col(f"_scan.{m}").alias(m) for m in MADE)
+    return docs.select(whole_row(docs), scan(F.col(text_col)).alias("_scan")).select(
+        *row_columns(docs, MADE), *(F.col(f"_scan.{m}").alias(m) for m in MADE)
     )

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_columns
+from .common import checkpointed, row_columns, whole_row
 from .labelled import id_crc, training_rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -377,8 +377,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", t
             yield pd.DataFrame([(own.probability(x), n) for x, n in rows], columns=["score", "n_matches"])
 
     made = ["score", "predicted", "n_matches"]
-    return docs.withColumn("_rate", rate(F.col(text_col))).select(
-        *(F.col(c) for c in own_columns(docs, made)),
+    return docs.select(whole_row(docs), rate(F.col(text_col)).alias("_rate")).select(
+        *row_columns(docs, made),
         F.col("_rate.score").alias("score"),
         F.when(F.col("_rate.score") >= threshold, 1).otherwise(0).alias("predicted"),
         F.col("_rate.n_matches").alias("n_matches"),
