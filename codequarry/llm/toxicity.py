@@ -42,6 +42,8 @@ WINDOW = 12
 QUOTE_REACH = 160
 MIN_LENGTH, FUZZY_LENGTH = 4, 5
 SEEN = 300_000
+#: Clean documents that hold an entry count so many times against it.
+CLEAN_COST = 2
 
 
 @dataclass
@@ -51,9 +53,10 @@ class Node:
 
 
 class Lexicon:
-    """Entries (text, whether a word's beginning is enough, strength) as a trie."""
+    """Entries (text, kind, strength) as a trie. Kinds: 0 a whole word, 1 a word's beginning,
+    2 a beginning that counts only where a text has two different words with it."""
 
-    def __init__(self, entries: list[tuple[str, bool, float]], ordinary: frozenset[str] = frozenset(), rigid: frozenset[int] = frozenset()):
+    def __init__(self, entries: list[tuple[str, int, float]], ordinary: frozenset[str] = frozenset(), rigid: frozenset[int] = frozenset()):
         self.entries, self.ordinary, self.rigid = entries, ordinary, rigid
         self.root = Node()
         self.exact: dict[str, int] = {}
@@ -62,7 +65,7 @@ class Lexicon:
         self.halves: set[str] = set()
         for k, (text, beginning, _) in enumerate(entries):
             (self.beginnings if beginning else self.exact)[text] = k
-            if len(text) >= FUZZY_LENGTH and k not in rigid:
+            if len(text) >= FUZZY_LENGTH and k not in rigid and beginning < 2:
                 node = self.root
                 for c in text:
                     node = node.children.setdefault(c, Node())
@@ -153,6 +156,8 @@ def features(text: str, lexicon: Lexicon) -> tuple[tuple[float, ...], int]:
     share of fuzzy and of quoted matches."""
     lowered = text.lower()
     hits = lexicon.lookup(set(WORD.findall(lowered)))
+    together = Counter(entry for entry, _ in hits.values())
+    hits = {w: h for w, h in hits.items() if lexicon.entries[h[0]][1] < 2 or together[h[0]] > 1}
     if not hits:
         return (0.0,) * FEATURES, 0
     found, n = [], 0
@@ -176,7 +181,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[tuple[float, ...], int]:
 
 @dataclass(frozen=True)
 class ToxicModel:
-    entries: tuple[tuple[str, bool, float], ...]
+    entries: tuple[tuple[str, int, float], ...]
     ordinary: frozenset[str]
     rigid: frozenset[int]
     weights: tuple[float, ...]
@@ -218,11 +223,11 @@ def independent(documents: list[tuple[list[int], list[int]]]) -> list[set[int]]:
 
 
 def choose_entries(
-    listed: list[tuple[str, bool, int]], toxic: list[set[int]], clean: int, candidates: int
-) -> list[tuple[str, bool, float]]:
+    listed: list[tuple[str, int, int]], toxic: list[set[int]], clean: int, candidates: int
+) -> list[tuple[str, int, float]]:
     """The entries whose share of toxic documents can't be chance.
 
-    listed: (text, whether a beginning, clean documents); toxic: the entries of each
+    listed: (text, kind, clean documents); toxic: the entries of each
     independent toxic document, by their places in ``listed``. Entries that are significant by
     themselves come first; then, among the documents that these leave unexplained, those that
     explain most. Of related entries that do nearly as well, the most specific one is taken.
@@ -236,7 +241,7 @@ def choose_entries(
     def significant(k: int, t: int, unexplained: int, margin: float) -> bool:
         c = listed[k][2]
         p, rate = t / (t + c), min(0.5, unexplained / (unexplained + clean + 1))
-        if p < 0.8 or t < 3:
+        if p < 0.65 or t < 3:
             return False
         # Chernoff: the chance of t or more of t + c is at most exp(-(t + c) KL(p, rate)).
         kl = p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0.0)
@@ -244,10 +249,10 @@ def choose_entries(
 
     def add(gain: Counter, good: list[int]) -> bool:
         """The best new family among the good ones, by its most specific member."""
-        good = [k for k in good if not any(related(k, q) for q in chosen)]
+        worth = lambda k: gain[k] - CLEAN_COST * listed[k][2]
+        good = [k for k in good if worth(k) > 0 and not any(related(k, q) for q in chosen)]
         if not good:
             return False
-        worth = lambda k: gain[k] - 10 * listed[k][2]
         best = max(good, key=lambda k: (worth(k), listed[k][0]))
         family = [k for k in good if related(k, best) and worth(k) >= 0.9 * worth(best)]
         chosen.append(min(family, key=lambda k: (listed[k][1], -len(listed[k][0]), listed[k][0])))
@@ -261,7 +266,8 @@ def choose_entries(
         gain: Counter = Counter(k for own in left for k in own)
         if not add(gain, [k for k, t in gain.items() if significant(k, t, len(left), 2)]):
             break
-    return [(listed[k][0], listed[k][1], 1.0) for k in chosen]
+    # What clean documents hold as well counts for less; the regression weighs how often it occurs.
+    return [(listed[k][0], listed[k][1], (every[k] / (every[k] + listed[k][2])) ** 3) for k in chosen]
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -296,7 +302,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
 
     def own_entries(text: str) -> set[str]:
         own = {w for w in WORD.findall(text.lower()) if len(w) >= MIN_LENGTH and w.isalpha()}
-        return own | {w[:n] + "*" for w in own for n in range(MIN_LENGTH, min(len(w), 6) + 1)}
+        begun = Counter(w[:n] for w in own for n in range(MIN_LENGTH, min(len(w), 7) + 1))
+        return own | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n > 1}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -311,8 +318,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where("toxic >= 3")
     )
-    likely = counted.where(F.col("toxic") >= 4 * F.col("clean")).orderBy(F.desc("toxic"), "entry").limit(max_entries).collect()
-    listed = [(r["entry"].rstrip("*"), r["entry"].endswith("*"), r["clean"]) for r in likely]
+    likely = counted.where(F.col("toxic") >= CLEAN_COST * F.col("clean")).orderBy(F.desc("toxic"), "entry").limit(max_entries).collect()
+    listed = [(r["entry"].rstrip("*"), r["entry"].count("*"), r["clean"]) for r in likely]
     place = spark.sparkContext.broadcast({r["entry"]: k for k, r in enumerate(likely)})
 
     def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

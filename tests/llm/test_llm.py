@@ -496,6 +496,15 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(2), none).first()["predicted"] == 0
 
 
+def test_entries_are_chosen_by_family_and_evidence():
+    listed = [("scum", 0, 0), ("scum", 1, 0), ("lowei", 1, 0), ("lowe", 1, 0), ("that", 0, 29), ("rare", 0, 0)]
+    toxic = [{0, 1, 4}] * 30 + [{2, 3, 4}] * 20 + [{5}] * 2
+    assert toxicity.choose_entries(listed, toxic, 400, 1000) == [("scum", 0, 1.0), ("lowei", 1, 1.0)]
+    # Entries that clean documents hold too are never worth it, however significant.
+    assert toxicity.choose_entries([("that", 0, 29)], [{0}] * 50, 400, 1000) == []
+    assert toxicity.choose_entries([], [], 0, 0) == []
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
@@ -523,6 +532,8 @@ def test_context_windows():
     plain, quoted = (toxicity.features(t, lexicon)[0] for t in ("you are an idiot today", 'they wrote "you are an idiot" in it'))
     both = toxicity.features("you idiot and moron", lexicon)[0]
     assert both[1] > plain[1] > quoted[1] and quoted[4] == 1
+    pair = toxicity.Lexicon([("abcd", 2, 1.0)])
+    assert toxicity.features("abcdx and abcdx", pair)[1] == 0 and toxicity.features("abcdx and abcdy", pair)[1] == 2
     assert toxicity.features("an idiott or 1diot", lexicon)[1] == 2 and toxicity.features("", lexicon)[1] == 0
 
 
