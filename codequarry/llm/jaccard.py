@@ -309,7 +309,7 @@ def link_documents(
         .select(F.explode("parts").alias("part"), F.col("_rid").alias("node"))
     )
     pairs = _chains(emitted, partitions(spark))
-    # A pivot's block holds the pivot and all that were chained to it.
+    # A pivot's block holds the pivot and all classes of its runs.
     blocks = checkpointed(
         pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node"))).distinct()
     )
@@ -339,49 +339,52 @@ def link_documents(
 
 
 def _chains(emitted: DataFrame, tasks: int) -> DataFrame:
-    """(a, b): each class of a part's run with the run's first class."""
+    """(a, b): each class of a part's run with the run's pivot, its first class."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot, opened = None, 0, False
-        names = ["part", "a", "b"]
+
+        def rows(parts: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            columns = [pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (parts, a, b)]
+            return pa.RecordBatch.from_arrays(columns, ["part", "a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             part, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.r_[True, part[1:] != part[:-1]]
-            starts = np.flatnonzero(new)
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             first = node[starts].copy()
             if last is not None and part[0] == last:
                 first[0] = pivot
             firsts = np.repeat(first, np.diff(np.r_[starts, len(part)]))
+            if not opened:
+                # The task's first run may have begun in the task before.
+                yield rows(part[:1], first[:1], None)
+                opened = True
             tied = firsts != node
-            pairs = np.unique(np.stack([firsts[tied], node[tied]], 1), axis=0) if tied.any() else np.zeros((0, 2), np.int64)
-            # The task's first run may have begun in the task before.
-            border = [(int(part[0]), int(first[0]))] if not opened else []
-            opened = True
+            # Outer runs of a batch may cross a border of the task, where the pivot may be
+            # another task's: their pairs keep the part.
+            outer = tied & ((part == part[0]) | (part == part[-1]))
+            if outer.any():
+                yield rows(part[outer], firsts[outer], node[outer])
+            if (inner := tied & ~outer).any():
+                pairs = np.unique(np.stack([firsts[inner], node[inner]], 1), axis=0)
+                yield rows(None, pairs[:, 0], pairs[:, 1])
             last, pivot = part[-1], first[-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p for p, _ in border] + [None] * len(pairs), pa.int64()),
-                    pa.array([f for _, f in border] + pairs[:, 0].tolist(), pa.int64()),
-                    pa.array([None] * len(border) + pairs[:, 1].tolist(), pa.int64()),
-                ],
-                names,
-            )
         if last is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(last)], pa.int64()), pa.array([int(pivot)], pa.int64()), pa.array([None], pa.int64())], names
-            )
+            yield rows(np.array([last]), np.array([pivot]), None)
 
     runs = checkpointed(
         emitted.repartitionByRange(tasks, "part", "node")
         .sortWithinPartitions("part", "node")
         .mapInArrow(chain, "part long, a long, b long")
     )
-    # At most two rows a task: a run that crosses borders is tied together by its firsts.
-    borders = runs.where("part IS NOT NULL").select("part", "a")
-    across = borders.join(borders.groupBy("part").agg(F.min("a").alias("b")), "part").select("a", "b")
-    return runs.where("part IS NULL").select("a", "b").unionByName(across).where("a <> b").distinct()
+    # At most two rows a task, so few enough for every task: the pivots of runs at borders.
+    firsts = runs.where("b IS NULL").select("part", "a")
+    heads = F.broadcast(firsts.groupBy("part").agg(F.min("a").alias("head")))
+    pairs = runs.where("b IS NOT NULL").join(heads, "part", "left").select(F.coalesce("head", "a").alias("a"), "b")
+    across = firsts.join(heads, "part").select(F.col("head").alias("a"), F.col("a").alias("b"))
+    return pairs.unionByName(across).where("a <> b").distinct()
 
 
 def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Threshold, words: int, tasks: int) -> DataFrame:

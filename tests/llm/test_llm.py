@@ -205,6 +205,18 @@ def test_jaccard(spark, words, sim, grams):
     assert sorted(str(tuple(r)) for r in got) == brute_links(rows, words, *sim)
 
 
+def test_jaccard_runs_across_tasks(spark):
+    """All classes of a part have its first class as pivot, over however many tasks and batches the part spreads."""
+    rows = [(part, node) for part, n in ((3, 2), (5, 900), (6, 1), (8, 40), (9, 300)) for node in range(part, part + n)]
+    emitted = spark.createDataFrame(rows, "part long, node long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = {tuple(r) for r in jaccard._chains(emitted, 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(part, node) for part, node in rows if part != node}
+
+
 def test_jaccard_odd(spark):
     rows = [*ODD, (20, "one  two three four five six seven eight nine ten"), (21, "one two three four five six seven eight nine ten eleven")]
     rows = list(dict.fromkeys(rows))  # rows equal in id and text are one document
