@@ -65,3 +65,21 @@ def row_columns(df: DataFrame, made: list[str] | tuple[str, ...] = ()) -> list[C
     made name wins over an input column of that name (compared without case, as Spark does)."""
     taken = {m.lower() for m in made}
     return [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c.lower() not in taken]
+
+
+#: A key with more than one in this many of all rows is heavy; fewer keys than that can be.
+HEAVY = 10_000
+
+
+def is_heavy(rows: str, total: int) -> Column:
+    return F.col(rows) * HEAVY > F.lit(total)
+
+
+def join_counted(left: DataFrame, counted: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of ``left``, of ``total`` rows, with ``counted``: one row per key, whose
+    column ``rows`` says how many rows of ``left`` have it. Heavy keys, fewer than ``HEAVY`` of
+    them whatever the input's size, are sent to every task and their rows stay where they are;
+    the rest is shuffled, where no key can fill a task. ``counted`` is read three times."""
+    heavy = F.broadcast(counted.where(is_heavy(rows, total)))
+    light = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return left.join(heavy, keys).unionByName(light.join(counted.where(~is_heavy(rows, total)), keys))

@@ -7,7 +7,8 @@ but the first in document order).
 Only hashes travel: lines are range-partitioned by (key hash, document) and sorted by
 position within, so a very common line spans as many partitions as it fills; streaming over
 that order marks each document's first occurrence, and only the marks are summed per key.
-The lines of frequent keys come back per document as a compressed bitmap: the 64-line words
+Lines of very common keys meet their counts without a shuffle by key (``join_counted``). The
+lines of frequent keys come back per document as a compressed bitmap: the 64-line words
 that are not zero. Text is joined with its bitmap once, by document.
 
 Defined results: a null or empty text is one empty line; keys under ``min_chars`` code
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, checkpointed, partitions, row_columns, whole_row
+from .common import ascii_lower, checkpointed, is_heavy, join_counted, partitions, row_columns, whole_row
 
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -60,19 +61,24 @@ def keep_bitmaps(
 ) -> DataFrame:
     """(_id, _t, words) of each document that loses lines. Bit b of word w says whether line
     64 w + b is kept; words of which every line is kept are left out."""
-    # Hashes of lines, read three times below; splitting and normalising texts costs far more.
+    # Hashes of lines, read several times below; splitting and normalising texts costs far more.
     lines = checkpointed(_lines(docs, id_col, text_col, min_chars))
+    total = lines.count()
     record = ("_h", "_g", "_id", "_t")
     ordered = lines.repartitionByRange(partitions(docs.sparkSession), *record)
     first = F.row_number().over(Window.partitionBy(*record).orderBy("_pos")) == 1
-    frequent = (
+    # Heavy keys are kept whether frequent or not: a document may repeat its own line very often.
+    counted = checkpointed(
         ordered.withColumn("_first", first)
-        .where("_first")
         .groupBy("_h", "_g")
-        .agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_t", "_pos")).alias("_at"))
-        .where(F.col("_docs") >= min_docs)
+        .agg(
+            F.count_if("_first").alias("_docs"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.min(F.struct("_id", "_t", "_pos")).alias("_at"),
+        )
+        .where((F.col("_docs") >= min_docs) | is_heavy("_rows", total))
     )
-    lost = lines.join(frequent, ["_h", "_g"])
+    lost = join_counted(lines, counted, ["_h", "_g"], "_rows", total).where(F.col("_docs") >= min_docs)
     if keep_first:
         lost = lost.where(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("_at")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_pos") % 64)

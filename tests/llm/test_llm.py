@@ -138,6 +138,21 @@ def test_lines(spark, sf_dir):
     assert linededup.line_dedup_digest(docs.limit(0)).count() == 0
 
 
+def test_lines_common_and_rare_keys(spark, monkeypatch):
+    """Heavy keys, joined by broadcast, lose their lines as light ones do; repeats within one document count once."""
+    from codequarry.llm import common
+
+    texts = ["same\n" + (f"pair {i // 2}\n" * 3) + f"own {i}" for i in range(60)] + ["alone\n" * 500 + "Same ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for heavy in (10_000, 20, 1):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        found.append(sorted(map(tuple, linededup.dedup_lines(docs, min_docs=2).select("doc_id", "text", "n_dropped").collect())))
+    assert found[0] == found[1] == found[2]
+    assert found[0][0] == (0, "own 0", 4) and found[0][60] == (60, "alone\n" * 499 + "alone", 1)
+    assert found[0][61:] == [(61, "", 0), (62, "", 0)]
+
+
 def test_lines_keep_first_and_columns(spark):
     rows = [(k, f"same\nown {k}\nsame") for k in range(12)]
     got = linededup.dedup_lines(frame(spark, rows, n_lines="clash", words="w"), min_docs=10, keep_first=True)
