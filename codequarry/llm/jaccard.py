@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, partitions, row_columns, whole_row
+from .common import LOWER, UPPER, checkpointed, join_counted, partitions, row_columns, whole_row
 from .components import components
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -313,14 +313,19 @@ def link_documents(
     blocks = checkpointed(
         pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node"))).distinct()
     )
+    n_blocks = blocks.count()
     sized = blocks.join(classes.select("node", "n", "weight"), "node")
-    shares = sized.groupBy("a").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("shares"))
+    shares = checkpointed(
+        sized.groupBy("a").agg(
+            F.ceil(F.sum("n") / block_grams).cast("int").alias("shares"), F.count(F.lit(1)).alias("held")
+        )
+    )
     placed = checkpointed(
-        sized.join(shares, "a")
+        join_counted(sized, shares, ["a"], "held", n_blocks)
         .groupBy("node", "weight")
         .agg(F.collect_list(F.struct(F.col("a").alias("pivot"), "shares")).alias("blocks"))
     )
-    linked = _search(source, placed, blocks.count(), threshold, words, partitions(spark))
+    linked = _search(source, placed, n_blocks, threshold, words, partitions(spark))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")))
     smallest = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("cid"))
