@@ -16,6 +16,7 @@ or null ids are scored one by one; other columns are passed on, but give way to
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,14 +50,11 @@ def statistics(text: str | None) -> tuple[float, ...]:
     n, k = len(raw), len(words)
     share = lambda drop: (n - len(raw.translate(None, drop))) / n
     lines = raw.split(b"\n")
-    distinct = set(words)
-    # The most frequent of the first distinct words is found among a few candidates only when
-    # repetition is high; counting every word would cost more than all the rest.
-    top = max(map(words.count, list(distinct)[:8])) / k if len(distinct) * 2 < k else 1 / len(distinct)
+    counts = Counter(words)
     pairs = len(set(zip(words, words[1:], strict=False))) / max(1, k - 1)
     return (
         float(k), sum(map(len, words)) / k, float(max(map(len, words))), share(_UPPER), share(_SYMBOLS), share(_DIGITS),
-        share(_MARKS), share(_BEYOND), len(distinct) / k, sum(map(operator.eq, words, words[1:])) / k, pairs, top,
+        share(_MARKS), share(_BEYOND), len(counts) / k, sum(map(operator.eq, words, words[1:])) / k, pairs, max(counts.values()) / k,
         float(len(lines)), 1 - len(set(lines)) / len(lines), n / len(lines),
     )
 

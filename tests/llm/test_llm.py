@@ -499,6 +499,14 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(3), none).first()["score"] == pytest.approx(0.5)
 
 
+def test_top_word_counts_every_word():
+    top = quality.STATS.index("top_word")
+    few, many = [f"w{k}" for k in range(51)], [f"w{k}" for k in range(500)]
+    for words in (["spam"] * 49 + few, many + ["spam"] * 900 + many, many, ["one"]):
+        counts = collections.Counter(words)
+        assert quality.statistics(" ".join(words))[top] == max(counts.values()) / len(words)
+
+
 def test_rules_as_columns_score_as_the_model(spark):
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abc DE$,.\n9"), rng.integers(0, 300))) for _ in range(300)]
