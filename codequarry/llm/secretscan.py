@@ -3,7 +3,8 @@
 Character Markov models - transition probabilities between characters - are trained from
 labelled samples, one on random strings and one on ordinary identifiers. A run of key
 characters whose log-likelihood ratio per character is high enough is a secret of kind
-``markov``. The patterns' spans (kinds ``assign``, ``access``, ``hex``) always stay; the
+``markov``. Runs of digits alone, and runs without digits whose letters are all of one case,
+are not judged. The patterns' spans (kinds ``assign``, ``access``, ``hex``) always stay; the
 model adds those that overlap none of them.
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive;
@@ -55,6 +56,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _judged(run: str) -> bool:
+    if run.isdigit():
+        return False
+    return any(c.isdigit() for c in run) or run not in (run.lower(), run.upper())
+
+
 class Markov:
     """First-order character model with add-one smoothing: log P(next | this)."""
 
@@ -100,7 +107,7 @@ class SecretModel:
         return [
             m.span()
             for m in _RUN.finditer(text)
-            if any(c.isdigit() for c in m[0]) and not m[0].isdigit() and self.score(m[0]) >= self.threshold
+            if _judged(m[0]) and self.score(m[0]) >= self.threshold
         ]
 
 
@@ -120,7 +127,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     in the usual spellings, long words and numbers among them."""
     rng = random.Random(seed)
     letters = ALPHABET[:52]
-    alphabets = (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef")
+    alphabets = (ALPHABET[:52], ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef")
     out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(16, 64))), 1) for _ in range(n)]
     for _ in range(4 * n):
         parts = rng.choices(_PARTS, k=rng.randint(2, 6))

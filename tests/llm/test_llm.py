@@ -474,6 +474,16 @@ def test_secret_model_on_held_out_samples():
     assert np.mean(caught) > 0.9 and np.mean(wrong) < 0.005
 
 
+def test_secret_keys_of_letters_alone():
+    model, rng = secretscan.SecretModel(secretscan.labelled_samples()), random.Random(3)
+    keys = ["".join(rng.choices(secretscan.ALPHABET[:52], k=24)) for _ in range(300)]
+    assert np.mean([model.spans(f"key {k} end") == [(4, 28)] for k in keys]) > 0.95
+    words = ["".join(w.title() for w in rng.choices(secretscan._PARTS, k=5)) for _ in range(300)]
+    words += ["-".join(w.title() for w in rng.choices(secretscan._PARTS, k=5)) for _ in range(300)]
+    words += ["Donaudampfschifffahrtsgesellschaft", "Internationalization", "getUserNameByIdOrDefault", "/---===___+++////"]
+    assert np.mean([bool(model.spans(w)) for w in words]) < 0.005
+
+
 # ---- classifiers
 
 
