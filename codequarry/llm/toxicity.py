@@ -7,6 +7,9 @@ within one edit. Matches score by their context: other matches within the window
 match, quotation marks around it lower it. A logistic regression over a document's match
 scores, fitted on the same labelled rows, gives the final score.
 
+Terms under four letters are not learned. Misspellings are looked for of every entry but
+beginnings that need two different words, and those near ordinary words of clean rows.
+
 Training takes at most ``max_train`` labelled rows (default 10,000), chosen by hash. Ids,
 language, source and labels are never inputs. Without labelled rows of both kinds the score
 is the labels' mean, or 0.5.
@@ -40,7 +43,7 @@ _OPENING, _CLOSING, _EITHER = "«“„‹", "»”›", "\""
 #: Words on each side that a match's context takes in, and characters searched for quotes.
 WINDOW = 12
 QUOTE_REACH = 160
-MIN_LENGTH, FUZZY_LENGTH = 4, 5
+MIN_LENGTH, FUZZY_LENGTH = 4, 4
 SEEN = 300_000
 #: Clean documents that hold an entry count so many times against it.
 CLEAN_COST = 2
@@ -114,7 +117,7 @@ class Lexicon:
         for n in self.starts:
             if word[:n] in self.beginnings:
                 return self.beginnings[word[:n]], True
-        if len(word) < MIN_LENGTH or word in self.ordinary:
+        if len(word) < FUZZY_LENGTH - 1 or word in self.ordinary:
             return None
         plain = word.translate(_LEET) if not word.isalpha() and not word.isdigit() else word
         if plain != word and (hit := self.find(plain)):

@@ -572,6 +572,14 @@ def test_automaton_finds_what_is_within_one_edit(word):
         assert lexicon.find(word) is not None
 
 
+def test_misspellings_of_short_entries():
+    lexicon = toxicity.Lexicon([("scum", 0, 1.0), ("vile", 1, 1.0)], ordinary=frozenset({"sum"}))
+    assert all(lexicon.find(w) == (0, False) for w in ("scvm", "scumm", "scm", "5cum", "xscum"))
+    assert lexicon.find("scum") == (0, True) and lexicon.find("vyleness") == (1, False)
+    assert all(lexicon.find(w) is None for w in ("sum", "scamp", "um"))
+    assert toxicity.Lexicon([("scum", 0, 1.0)], rigid=frozenset({0})).find("scvm") is None
+
+
 def test_context_windows():
     lexicon = toxicity.Lexicon([("idiot", False, 1.0), ("moron", False, 1.0)])
     plain, quoted = (toxicity.features(t, lexicon)[0] for t in ("you are an idiot today", 'they wrote "you are an idiot" in it'))
