@@ -39,10 +39,11 @@ from .labelled import id_crc, training_rows
 WORD = re.compile(r"[^\W_]+")
 #: Digits that stand for letters.
 _LEET = str.maketrans("013457", "oieast")
-_OPENING, _CLOSING, _EITHER = "«“„‹", "»”›", "\""
-#: Words on each side that a match's context takes in, and characters searched for quotes.
+#: What opens a quotation and what closes it; the straight mark does either.
+_CLOSED_BY, _EITHER = {"«": "»", "“": "”", "„": "“”", "‹": "›"}, "\""
+_MARKS = re.compile("[«»“”„‹›\"\n]")
+#: Words on each side that a match's context takes in.
 WINDOW = 12
-QUOTE_REACH = 160
 MIN_LENGTH, FUZZY_LENGTH = 4, 4
 SEEN = 300_000
 #: Clean documents that hold an entry count so many times against it.
@@ -141,14 +142,32 @@ class Lexicon:
         return out
 
 
-def quoted(text: str, a: int, b: int) -> bool:
-    before, after = text[max(0, a - QUOTE_REACH) : a], text[b : b + QUOTE_REACH]
-    for o in _OPENING:
-        at = before.rfind(o)
-        if at >= 0 and not any(c in before[at:] for c in _CLOSING) and any(c in after for c in _CLOSING + "“"):
-            return True
-    line = before.rsplit("\n", 1)[-1]
-    return line.count(_EITHER) % 2 == 1 and _EITHER in after.split("\n", 1)[0]
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The text's outermost quotations (first mark, last mark) in order. Marks that open and
+    close pair up over any distance, straight ones within a line; what never closes is none."""
+    found: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
+    straight = -1
+    for m in _MARKS.finditer(text):
+        c, at = m[0], m.start()
+        if c == "\n":
+            straight = -1
+        elif c == _EITHER:
+            if straight >= 0:
+                found.append((straight, at))
+            straight = at if straight < 0 else -1
+        elif (k := next((k for k in reversed(range(len(opened))) if c in _CLOSED_BY[opened[k][0]]), -1)) >= 0:
+            found.append((opened[k][1], at))
+            del opened[k:]
+        elif c in _CLOSED_BY:
+            opened.append((c, at))
+    outer: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if outer and start < outer[-1][1]:
+            outer[-1] = (outer[-1][0], max(end, outer[-1][1]))
+        else:
+            outer.append((start, end))
+    return outer
 
 
 FEATURES = 5
@@ -164,15 +183,24 @@ def features(text: str, lexicon: Lexicon) -> tuple[tuple[float, ...], int]:
     if not hits:
         return (0.0,) * FEATURES, 0
     found, n = [], 0
+    quotes, q = quotations(lowered), 0
     # Offsets of the lower-cased text serve for quotes too: marks have no case.
     for m in WORD.finditer(lowered):
         if m[0] in hits:
             entry, exact = hits[m[0]]
-            found.append((n, lexicon.entries[entry][2] * (1.0 if exact else 0.6), exact, quoted(lowered, *m.span())))
+            while q < len(quotes) and quotes[q][1] < m.start():
+                q += 1
+            in_quotes = q < len(quotes) and quotes[q][0] < m.start()
+            found.append((n, lexicon.entries[entry][2] * (1.0 if exact else 0.6), exact, in_quotes))
         n += 1
     total = high = 0.0
-    for i, (at, strength, _, in_quotes) in enumerate(found):
-        near = sum(1 for step in (-1, 1) for j in (i + step, i + 2 * step) if 0 <= j < len(found) and abs(found[j][0] - at) <= WINDOW)
+    first = end = 0
+    for at, strength, _, in_quotes in found:
+        while found[first][0] < at - WINDOW:
+            first += 1
+        while end < len(found) and found[end][0] <= at + WINDOW:
+            end += 1
+        near = end - first - 1
         score = strength * (1 + 0.25 * near) * (0.25 if in_quotes else 1.0)
         total += score
         high = max(high, score)

@@ -590,6 +590,20 @@ def test_context_windows():
     assert toxicity.features("an idiott or 1diot", lexicon)[1] == 2 and toxicity.features("", lexicon)[1] == 0
 
 
+def test_all_matches_in_the_window_and_long_quotations():
+    lexicon = toxicity.Lexicon([("idiot", 0, 1.0)])
+    # The middle one of 25 matches in a row has 24 others within 12 words.
+    assert toxicity.features(" ".join(["idiot"] * 25), lexicon)[0][1] == 1 + 0.25 * 24
+    assert toxicity.features("idiot " + "so " * 12 + "idiot", lexicon)[0][1] == 1.0
+    far = "so " * 400
+    for a, b in ("“”", "„“", "«»", "‹›", '""'):
+        assert toxicity.features(f"he said {a}{far}idiot {far}{b} and left", lexicon)[0][4] == 1
+        assert toxicity.features(f"{a}so{b} idiot {far}{a}so{b}", lexicon)[0][4] == 0
+        assert toxicity.features(f"{a} idiot", lexicon)[0][4] == 0
+    assert toxicity.features("«so ‹so› idiot»", lexicon)[0][4] == 1
+    assert toxicity.features('"so\nidiot"', lexicon)[0][4] == 0
+
+
 # ---- pipeline and queries
 
 
