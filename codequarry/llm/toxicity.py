@@ -378,8 +378,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
             ]
             yield pd.DataFrame(out, columns=["word", "entry"])
 
-    met = rows.mapInPandas(neighbours, "word string, entry int").groupBy("word", "entry").agg(F.count(F.lit(1)).alias("n"))
-    met = met.orderBy(F.desc("n"), "word").limit(20_000).collect()
+    # All of them: no more than the distinct words of max_train rows.
+    met = rows.mapInPandas(neighbours, "word string, entry int").groupBy("word", "entry").agg(F.count(F.lit(1)).alias("n")).collect()
     per_entry: Counter = Counter()
     for r in met:
         per_entry[r["entry"]] += r["n"]

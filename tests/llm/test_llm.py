@@ -604,6 +604,18 @@ def test_all_matches_in_the_window_and_long_quotations():
     assert toxicity.features('"so\nidiot"', lexicon)[0][4] == 0
 
 
+def test_every_neighbour_in_clean_rows_is_ordinary(spark):
+    rng = random.Random(1)
+    words = lambda n: ["".join(rng.choices("bcdfgjklmnpqrsvwxz", k=8)) for _ in range(n)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    near = {"scoundrel" + chr(0x4E00 + k) for k in range(20_500)}
+    rows = [(i, " ".join([*words(6), "scoundrel", *words(6)]), 1) for i in ids[:60]]
+    rows += [(i, " ".join(words(12)), 0) for i in ids[60:140]] + [(ids[140], " ".join(sorted(near)), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert [e[:2] for e in model.entries] == [("scoundrel", 0)] and near <= model.ordinary
+
+
 # ---- pipeline and queries
 
 
