@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_counted
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -19,21 +19,24 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b: long), the label being the smallest
     node that it reaches. Every step is an aggregation and a join of light rows, kept in the
-    shared folder; their number grows with the logarithm of the longest path."""
+    shared folder; their number grows with the logarithm of the longest path. Loops (a = b) and
+    nulls are left out."""
     edges = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = _print(edges)
     while before[0]:
-        # Large star: larger neighbours of a node go to its smallest one.
+        # Large star: larger neighbours of a node go to its smallest one. A node with very many
+        # neighbours meets its smallest one without a shuffle by node.
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
-            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        )
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = checkpointed(
+            join_counted(both, least, ["a"], "n", 2 * before[0])
+            .where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        )
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_counted(large, least, ["a"], "n", large.count())
         edges = checkpointed(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b")))

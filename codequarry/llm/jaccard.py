@@ -13,23 +13,29 @@ threshold. Documents of equal sets form a class, and one of them searches for al
    of all its classes, and runs that cross a border share one pivot. All classes of a pivot
    are a block; classes that link have a pivot in common. (Blocks aren't chained any further:
    chains of chance agreements would grow with the corpus.)
-3. In a block, inverted lists of grams are searched for every class: the longest lists are set
-   aside, the short ones merged, and candidates with enough occurrences probe the long lists
-   by binary search; what reaches the required overlap is a link. A link that several blocks
-   find counts in that of the smallest common pivot. Blocks beyond ``block_grams`` are split:
-   each share is the index of one task, through which all the block's classes stream.
+3. In a block, inverted lists of grams are searched for every class, by DivideSkip: the
+   longest lists are set aside, the short ones go through a heap, and what the heap brings up
+   often enough is looked for in the long lists by binary search, shortest first, until it
+   can't reach the required overlap any more. What reaches it is a link. A class is searched
+   against the classes before it, so a pair is met once; a link that several blocks find
+   counts in that of the smallest common pivot. Blocks beyond ``block_grams`` are split into
+   shares, and each pair of shares is a group of its own, so no task holds a whole block.
 
 Only classes in blocks ever move with their sets. Links give components, whose id is the
-smallest document id.
+smallest document id. Very common sets meet their class without a shuffle by it
+(``join_counted``).
 
 Defined results: null and empty texts, or texts without words, have empty sets and link with
-nothing; a text with fewer words than n is one gram; rows that repeat an id are told apart by
-their text; a null id is reported as it is and never is a component's id unless all are null;
-an empty table gives an empty result; other columns are not read.
+nothing; a text with fewer words than n is one gram; every row is a document of its own, also
+where ids repeat or are null (rows are then numbered, and kept in the shared folder for that);
+a null id is reported as it is and never is a component's id unless all are null; an empty
+table gives an empty result; of other columns none is read by ``link_documents``, all are
+passed on by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +51,15 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 #: Sizes of a band differ by this factor at most; parts beyond H, as a share of it.
 BAND, SLACK = 1.5, 0.06
-#: Rows up to which a table of ids is sent to every task (16 bytes a row).
-BROADCAST_ROWS = 1_000_000
-BLOCK_GRAMS = 1_000_000
+#: Rows up to which a table of ids, or of classes with their blocks, is sent to every task
+#: (about 100 bytes a row); beyond that both sides are shuffled.
+BROADCAST_ROWS = 250_000
+#: Grams of a share; beyond ``MANY`` shares of a block, shares grow with it, as each is paired with every other.
+BLOCK_GRAMS, MANY = 60_000, 64
+#: DivideSkip's constant: what a probe costs against an entry that goes through the heap.
+MU = 0.0005
+#: Long lists probed between two looks at which candidates can still link.
+PROBES = 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -128,7 +140,7 @@ class Threshold:
 
 
 class Index:
-    """Inverted lists over the sets of a block."""
+    """Inverted lists over the sets of a block, each in ascending order of the members."""
 
     def __init__(self, sets: list[np.ndarray], threshold: Threshold) -> None:
         self.t, self.m = threshold, len(sets)
@@ -142,39 +154,57 @@ class Index:
         # Gram and document as one ascending number, for binary probes.
         self.keys = inverse[order].astype(np.int64) * self.m + self.lists
 
-    def search(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, overlaps) that link with the set; the set itself among them if indexed."""
-        empty = np.zeros(0, np.int64)
-        at = np.searchsorted(self.grams, own)
-        at[at == len(self.grams)] = 0
-        at = at[self.grams[at] == own]
-        need = self.t.overlap(len(own))
+    def _probe(self, lists: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each member, by binary search."""
+        wanted = (lists[:, None] * self.m + members[None, :]).ravel()
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return (self.keys[place] == wanted).reshape(len(lists), len(members)).sum(0)
+
+    def search(self, own: np.ndarray, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(members, overlaps) that link with the set, the set itself among them if indexed;
+        only members below number ``before`` if that is given."""
+        none = np.zeros(0, np.int64)
+        n, need = len(own), self.t.overlap(len(own))
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        at = at[self.grams[at] == own].astype(np.int64)
+        if before is None:
+            begin, length = self.begin[at], self.length[at]
+        else:
+            begin = self.begin[at]
+            length = np.searchsorted(self.keys, at * self.m + before) - begin
+            filled = length > 0
+            at, begin, length = at[filled], begin[filled], length[filled]
         if len(at) < need:
-            return empty, empty
-        length = self.length[at]
+            return none, none
         order = np.argsort(length, kind="stable")
-        at, length = at[order], length[order]
-        # DivideSkip: as many long lists aside as the lengths suggest, unless merging them too
-        # costs less than the probes would.
-        aside = min(need - 1, int(need / (0.0085 * np.log2(length[-1] + 1) + 1)))
+        at, begin, length = at[order], begin[order], length[order]
+        # DivideSkip: that many lists, the longest, are set aside.
+        aside = min(need - 1, int(need / (MU * np.log2(length[-1] + 1) + 1)))
         short = len(at) - aside
-        postings = int(length[:short].sum())
-        if aside and int(length[short:].sum()) < 8 * (postings // max(1, need - aside)) * aside + 64 * aside:
-            aside, short = 0, len(at)
-        n = length[:short]
-        offsets = np.repeat(self.begin[at[:short]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        count = np.bincount(self.lists[offsets], minlength=self.m)
-        found = np.flatnonzero(count >= need - aside)
-        sizes = self.size[found]
-        found = found[(self.t.num * sizes <= self.t.den * len(own)) & (self.t.num * len(own) <= self.t.den * sizes)]
-        both = count[found]
-        if aside and len(found):
-            probe = at[short:, None].astype(np.int64) * self.m + found[None, :]
-            place = np.searchsorted(self.keys, probe.ravel())
-            place[place == len(self.keys)] = 0
-            both = both + (self.keys[place] == probe.ravel()).reshape(probe.shape).sum(0)
-        linked = self.t.links(self.size[found], len(own), both)
-        return found[linked], both[linked]
+        runs = [self.lists[b:e].tolist() for b, e in zip(begin[:short].tolist(), (begin + length)[:short].tolist(), strict=True)]
+        found, count, last, times, least = [], [], -1, 0, need - aside
+        for member in heapq.merge(*runs):
+            if member == last:
+                times += 1
+                continue
+            if times >= least:
+                found.append(last)
+                count.append(times)
+            last, times = member, 1
+        if times >= least:
+            found.append(last)
+            count.append(times)
+        members, both = np.array(found, np.int64), np.array(count, np.int64)
+        # Overlap that each candidate needs by its own size; those too small or large need more than there is.
+        wanted = -(-self.t.num * (n + self.size[members]) // (self.t.den + self.t.num))
+        for k in range(short, len(at), PROBES):
+            able = both + (len(at) - k) >= wanted
+            members, both, wanted = members[able], both[able], wanted[able]
+            if not len(members):
+                return none, none
+            both = both + self._probe(at[k : k + PROBES], members)
+        linked = self.t.links(self.size[members], n, both)
+        return members[linked], both[linked]
 
 
 class _Roots:
@@ -205,49 +235,45 @@ class Member:
 def _search_block(
     pivot: int, index: list[Member], queries: Iterator[Member] | None, threshold: Threshold
 ) -> Iterator[tuple[int, int, int]]:
-    """(node, a node that it links with or itself, documents linked with it) of a block; what
-    has no link is left out. Without queries the members ask themselves."""
+    """(node, a node that it links with or itself, documents linked with it) of a block, or of
+    a pair of its shares; what has no link is left out. Without queries the members ask
+    themselves, each for those before it; queries are none of the members."""
     weights = np.array([m.weight for m in index], np.int64)
     leads = np.array([m.pivots[0] == pivot for m in index])
     inverted = Index([m.own for m in index], threshold)
     roots = _Roots(len(index))
-    place = {m.node: i for i, m in enumerate(index)}
-
-    def ask(q: Member) -> tuple[int | None, np.ndarray, int]:
-        found, _ = inverted.search(q.own)
-        mine = place.get(q.node)
-        if mine is not None:
-            found = found[found != mine]
-        if not len(found):
-            return mine, found, 0
-        if q.pivots[0] == pivot:
-            return mine, found, int(weights[found].sum())
-        # Links that a block of a smaller common pivot counts are not counted again.
-        sure = leads[found]
-        count, others = int(weights[found[sure]].sum()), set(q.pivots)
-        for j in found[~sure].tolist():
-            if next(p for p in index[j].pivots if p in others) == pivot:
-                count += index[j].weight
-        return mine, found, count
-
-    links: dict[int, int] = {}
-    for q in index if queries is None else queries:
-        mine, found, count = ask(q)
+    links, met = np.zeros(len(index), np.int64), np.zeros(len(index), bool)
+
+    def counted(q: Member, found: np.ndarray) -> np.ndarray:
+        """Those links that no block of a smaller common pivot counts."""
+        if q.pivots[0] == pivot or not len(found):
+            return found
+        sure, others = leads[found], set(q.pivots)
+        for k in np.flatnonzero(~sure).tolist():
+            sure[k] = next(p for p in index[found[k]].pivots if p in others) == pivot
+        return found[sure]
+
+    for i, q in enumerate(index if queries is None else queries):
+        found, _ = inverted.search(q.own, i if queries is None else None)
         if not len(found):
             continue
-        if mine is not None:
+        own = counted(q, found)
+        met[found] = True
+        links[own] += q.weight
+        if queries is None:
+            met[i] = True
+            links[i] += weights[own].sum()
             for j in found.tolist():
-                roots.join(mine, j)
-            links[mine] = count
+                roots.join(i, j)
         else:
             # A query from another share: one edge to each local component it meets.
-            yield q.node, q.node, count
-            for j in {roots.find(j) for j in found.tolist()}:
-                yield q.node, index[j].node, 0
-    for i, m in enumerate(index):
-        label = index[roots.find(i)].node
-        if label != m.node or i in links:
-            yield m.node, label, links.get(i, 0)
+            yield q.node, q.node, int(weights[own].sum())
+            first, *rest = found.tolist()
+            yield q.node, index[first].node, 0
+            for j in rest:
+                roots.join(first, j)
+    for i in np.flatnonzero(met).tolist():
+        yield index[i].node, index[roots.find(i)].node, int(links[i])
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -255,23 +281,22 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def link_documents(
-    docs: DataFrame,
-    words: int = 5,
-    similarity: tuple[int, int] = (80, 100),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    block_grams: int = BLOCK_GRAMS,
-) -> DataFrame:
-    """One row per document: its id, n_shingles, component_id, n_links (documents that link
-    with it) and ``first`` (whether it is the one of its component that would stay)."""
-    spark = docs.sparkSession
-    threshold = Threshold(*similarity)
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    # Ids serve as node numbers where they are unique; otherwise id and text together do.
-    repeated = source.groupBy("_id").count().where("count > 1 OR _id IS NULL").limit(1).count() > 0
-    rid = F.xxhash64(F.coalesce("_id", F.lit(-1)), F.coalesce("_text", F.lit(""))) if repeated else F.col("_id")
-    source = source.withColumn("_rid", rid)
+def _numbered(docs: DataFrame, id_col: str, text_col: str, rows: bool = False) -> tuple[DataFrame, bool]:
+    """(_id, _text, _rid and, if asked for, _row): every row under a number of its own. Whole
+    ids that are unique and known serve as numbers; otherwise rows are numbered once, and kept."""
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([whole_row(docs)] if rows else []))
+    whole = source.schema["_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    unique = whole and source.groupBy("_id").count().where("count > 1 OR _id IS NULL").isEmpty()
+    if unique:
+        return source.withColumn("_rid", F.col("_id").cast("long")), True
+    return checkpointed(source.withColumn("_rid", F.monotonically_increasing_id())), False
+
+
+def _link(source: DataFrame, unique: bool, words: int, threshold: Threshold, block_grams: int) -> DataFrame:
+    """(_id, _rid, n, component_id, n_links, stays) of the numbered rows; of each component one
+    row stays: that of the smallest id (known ones first), of equal ids that of the smallest number."""
+    spark = source.sparkSession
+    id_type = source.schema["_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh128_digest
@@ -293,18 +318,26 @@ def link_documents(
                 ["_id", "_rid", "n", "mark", "parts"],
             )
 
-    measured = checkpointed(source.mapInArrow(measure, "_id long, _rid long, n long, mark binary, parts array<long>"))
+    said = source.select("_id", "_text", "_rid")
+    measured = checkpointed(said.mapInArrow(measure, f"_id {id_type}, _rid long, n long, mark binary, parts array<long>"))
+    filled = measured.where("n > 0")
     # Classes of equal sets; the smallest row number of a class is its node.
-    classes = measured.where("n > 0").groupBy("mark").agg(
-        F.min("_rid").alias("node"), F.min("_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")
-    )
+    first = lambda rid: F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), rid.alias("rid"))
+    order = {} if unique else {"first": F.min(first(F.col("_rid")))}
+    classes = filled.groupBy("mark").agg(
+        F.min("_rid").alias("node"), F.min("_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"),
+        *(c.alias(name) for name, c in order.items()),
+    )
+    if unique:
+        classes = classes.withColumn("first", F.struct(F.lit(False).alias("unknown"), F.col("rep").alias("id"), F.col("node").alias("rid")))
     classes = checkpointed(classes)
-    members = checkpointed(
-        measured.select("_id", "_rid", "n", "mark").join(classes.select("mark", "node"), "mark", "left").drop("mark")
-    )
-    others = members.where("node <> _rid").select("_rid").distinct()
+    total = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    placed_rows = join_counted(filled.select("_id", "_rid", "n", "mark"), classes.select("mark", "node", "weight"), ["mark"], "weight", total)
+    empty = measured.where("n = 0").select("_id", "_rid", "n", F.lit(None).cast("long").alias("node"))
+    members = checkpointed(placed_rows.select("_id", "_rid", "n", "node").unionByName(empty))
+    others = members.where("node <> _rid").select("_rid")
     emitted = (
-        measured.select("_rid", "parts")
+        filled.select("_rid", "parts")
         .join(_small(others, others.count()), "_rid", "left_anti")
         .select(F.explode("parts").alias("part"), F.col("_rid").alias("node"))
     )
@@ -315,9 +348,10 @@ def link_documents(
     )
     n_blocks = blocks.count()
     sized = blocks.join(classes.select("node", "n", "weight"), "node")
+    ratio = F.sum("n") / block_grams
     shares = checkpointed(
         sized.groupBy("a").agg(
-            F.ceil(F.sum("n") / block_grams).cast("int").alias("shares"), F.count(F.lit(1)).alias("held")
+            F.ceil(F.least(ratio, F.sqrt(MANY * ratio))).cast("int").alias("shares"), F.count(F.lit(1)).alias("held")
         )
     )
     placed = checkpointed(
@@ -327,19 +361,42 @@ def link_documents(
     )
     linked = _search(source, placed, n_blocks, threshold, words, partitions(spark))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    smallest = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("cid"))
-    found = labels.join(smallest, "label").select("node", "cid").join(counts, "node", "left")
-    per_node = classes.select("node", "rep", "weight").join(found, "node", "left").select(
+    labels = checkpointed(components(linked.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    smallest = checkpointed(
+        labels.join(classes.select("node", "rep", "first"), "node")
+        .groupBy("label")
+        .agg(F.min("rep").alias("cid"), F.min("first").alias("keep"), F.count(F.lit(1)).alias("held"))
+    )
+    found = join_counted(labels, smallest, ["label"], "held", labels.count()).select("node", "cid", "keep").join(counts, "node", "left")
+    per_node = classes.select("node", "rep", "first", "weight").join(found, "node", "left").select(
         "node",
+        "weight",
         F.least("rep", "cid").alias("component_id"),
+        F.coalesce("keep", "first")["rid"].alias("keep"),
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    return members.join(checkpointed(per_node), "node", "left").select(
-        F.col("_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    known = join_counted(members.where("node IS NOT NULL"), checkpointed(per_node), ["node"], "weight", total)
+    alone = members.where("node IS NULL").select(
+        "_id", "_rid", "n", F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays")
+    )
+    return known.select(
+        "_id", "_rid", "n", F.coalesce("component_id", "_id").alias("component_id"), "n_links", (F.col("keep") == F.col("_rid")).alias("stays")
+    ).unionByName(alone)
+
+
+def link_documents(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_grams: int = BLOCK_GRAMS,
+) -> DataFrame:
+    """One row per row of ``docs``: its id, n_shingles, component_id and n_links (rows that
+    link with it)."""
+    source, unique = _numbered(docs, id_col, text_col)
+    return _link(source, unique, words, Threshold(*similarity), block_grams).select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links"
     )
 
 
@@ -404,18 +461,20 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
 
     made = texts.mapInArrow(sets, "node long, weight long, blocks array<struct<pivot:long,shares:int>>, own binary")
     share = F.pmod(F.xxhash64("node"), F.col("b.shares")).cast("int")
-    # Blocks of one share: one row. Split blocks: the index row in its share, and a query row
-    # (role 1) in every share.
-    place = lambda s, role: F.struct(s.alias("share"), F.lit(role).alias("role"))
-    places = F.when(F.col("b.shares") == 1, F.array(place(F.lit(0), 0))).otherwise(
-        F.concat(F.array(place(share, 0)), F.transform(F.sequence(F.lit(0), F.col("b.shares") - 1), lambda s: place(s, 1)))
+    # A member of share s is indexed in the pairs (s, t) with t >= s, and asks (role 1) in the
+    # pairs (r, s) with r < s; in (s, s) the members ask one another. One share: (0, 0).
+    pair = lambda r, s, role: F.struct(r.alias("r"), s.alias("s"), F.lit(role).alias("role"))
+    places = F.transform(
+        F.sequence(F.lit(0), F.col("b.shares") - 1),
+        lambda t: F.when(t >= F.col("s"), pair(F.col("s"), t, 0)).otherwise(pair(t, F.col("s"), 1)),
     )
     spread = (
         made.select("node", "weight", F.col("blocks.pivot").alias("pivots"), "own", F.explode("blocks").alias("b"))
+        .withColumn("s", share)
         .withColumn("p", F.explode(places))
-        .select(F.col("b.pivot").alias("block"), "p.share", "p.role", "node", "weight", "own", "pivots")
+        .select(F.col("b.pivot").alias("block"), "p.r", "p.s", "p.role", "node", "weight", "own", "pivots")
     )
-    dealt = spread.repartition(tasks, "block", "share").sortWithinPartitions("block", "share", "role", "node")
+    dealt = spread.repartition(tasks, "block", "r", "s").sortWithinPartitions("block", "r", "s", "role", "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -432,29 +491,22 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
         stream = rows()
         row = next(stream, None)
         while row is not None:
-            key, index = row[:2], {}
-            # Where ids repeat, a class may stand in several equal rows; one will do.
-            while row is not None and row[:2] == key and row[2] == 0:
-                index.setdefault(row[3], Member(*row[3:]))
+            key, index = row[:3], []
+            while row is not None and row[:3] == key and row[3] == 0:
+                index.append(Member(*row[4:]))
                 row = next(stream, None)
 
             def queries(key: tuple = key) -> Iterator[Member]:
                 nonlocal row
-                before = None
-                while row is not None and row[:2] == key:
-                    if row[3] != before:
-                        yield Member(*row[3:])
-                    before = row[3]
+                while row is not None and row[:3] == key:
+                    yield Member(*row[4:])
                     row = next(stream, None)
 
-            split = row is not None and row[:2] == key
-            if index:
-                found = _search_block(key[0], list(index.values()), queries() if split else None, threshold)
+            if not index:
+                found = (None for _ in queries())
             else:
-                found = ()
-                for _ in queries():
-                    pass
-            for one in found:
+                found = _search_block(key[0], index, None if key[1] == key[2] else queries(), threshold)
+            for one in filter(None, found):
                 out.append(one)
                 if len(out) >= 50_000:
                     yield flush()
@@ -467,9 +519,8 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
 def drop_near_copies(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` without those that link, directly or not, with a document of a
-    smaller id: of each component one document stays. All columns are kept."""
-    found = link_documents(docs, words, similarity, id_col, text_col)
-    gone = checkpointed(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
-    rows = docs.select(whole_row(docs), F.col(id_col).alias("_gone"))
-    return rows.join(_small(gone, gone.count()), "_gone", "left_anti").select(*row_columns(docs))
+    """One row of each component, with all its columns: that of the smallest id; of equal ids,
+    or where none is known, one of those rows. Rows without words stay."""
+    source, unique = _numbered(docs, id_col, text_col, rows=True)
+    gone = checkpointed(_link(source, unique, words, Threshold(*similarity), BLOCK_GRAMS).where("NOT stays").select("_rid"))
+    return source.select("_row", "_rid").join(_small(gone, gone.count()), "_rid", "left_anti").select(*row_columns(docs))

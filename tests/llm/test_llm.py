@@ -242,6 +242,61 @@ def test_jaccard_odd(spark):
     assert left.columns[-1] == "extra" and 4 not in {r["doc_id"] for r in left.where("text LIKE 'Alpha%'").collect()}
 
 
+def brute_survivors(rows, n, num, den):
+    """Texts of the rows that stay, one of each component: the smallest known id, and whatever has no words."""
+    sets = brute_sets(rows, n)
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                x, y = sets[a][1], sets[b][1]
+                if x and y and den * len(x & y) >= num * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    groups = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        groups[label[k] if sets[k][1] else ("alone", k)].append(i)
+    return sorted(str(min(ids, key=lambda i: (i is None, i or 0))) for ids in groups.values())
+
+
+def test_near_copies_are_dropped_by_row(spark, monkeypatch):
+    """Repeated and null ids and repeated rows among them: one row of each component stays, and nothing else goes."""
+    near = "one two three four five six seven eight nine ten"
+    rows = [*ODD, (20, near), (21, near + " eleven"), (None, near), (4, "totally different words here"), (21, "a lonely text of its own")]
+    for bound in (jaccard.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", bound)
+        got = jaccard.drop_near_copies(frame(spark, rows, _rid="clash", node=1), 4, (85, 100))
+        assert got.columns[-2:] == ["_rid", "node"]
+        left = got.collect()
+        assert sorted(str(r["doc_id"]) for r in left) == brute_survivors(rows, 4, 85, 100)
+        texts = [r["text"] for r in left]
+        assert texts.count("totally different words here") == texts.count("different") == texts.count("a lonely text of its own") == 1
+    nobody = [(None, near), (None, near), (None, near + " eleven"), (None, None)]
+    assert jaccard.drop_near_copies(frame(spark, nobody), 4, (85, 100)).count() == 2
+    assert jaccard.drop_near_copies(frame(spark, []), 4, (85, 100)).count() == 0
+
+
+def test_jaccard_rows_and_ids_of_any_kind(spark):
+    rows = [*ODD, (4, "different"), (None, None)]
+    got = jaccard.link_documents(frame(spark, rows), 4, (85, 100)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_links(rows, 4, 85, 100)
+    words = spark.createDataFrame([("b", "x y z"), ("a", "X y z"), ("c", "other")], "doc_id string, text string")
+    assert {tuple(r)[::2] for r in jaccard.link_documents(words, 4, (85, 100)).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_jaccard_heavy_sets_and_hubs(spark, monkeypatch):
+    """One set that two thirds of all rows have, and a node that all others link with, joined by broadcast or by shuffle."""
+    from codequarry.llm import common
+
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base)) for k in range(80)]
+    rows += [(100 + k, " ".join([*base[:k], f"n{k}", *base[k + 1 :]])) for k in range(40)]
+    want = brute_links(rows, 4, 85, 100)
+    for heavy in (10_000, 2, 0):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = jaccard.link_documents(frame(spark, rows), 4, (85, 100), block_grams=500).collect()
+        assert sorted(str(tuple(r)) for r in got) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([(85, 100), (80, 100), (1, 2), (95, 100)]), st.integers(0, 1 << 30))
 def test_linked_sets_share_a_part(n, lost, added, sim, seed):
@@ -266,6 +321,20 @@ def test_index_search():
         found, both = index.search(s)
         want = {j: len(np.intersect1d(s, o)) for j, o in enumerate(sets) if t.links(len(s), len(o), len(np.intersect1d(s, o)))}
         assert dict(zip(found.tolist(), both.tolist(), strict=True)) == want and i in want
+        found, both = index.search(s, i)
+        assert dict(zip(found.tolist(), both.tolist(), strict=True)) == {j: n for j, n in want.items() if j < i}
+
+
+def test_index_sets_long_lists_aside(monkeypatch):
+    """The heap gets the short lists alone; the long ones are only probed."""
+    sets = [np.array([*range(100), 1000 + k, 2000 + k], np.uint64) for k in range(50)]
+    index = jaccard.Index(sets, jaccard.Threshold(85, 100))
+    merged, probed = [], []
+    merge, probe = jaccard.heapq.merge, jaccard.Index._probe
+    monkeypatch.setattr(jaccard.heapq, "merge", lambda *runs: merged.append(sum(map(len, runs))) or merge(*runs))
+    monkeypatch.setattr(jaccard.Index, "_probe", lambda self, lists, members: probed.append(len(lists)) or probe(self, lists, members))
+    assert len(index.search(sets[0])[0]) == 50
+    assert len(merged) == 1 and merged[0] < 50 * 20 and sum(probed) > 80
 
 
 def test_components(spark):
