@@ -43,6 +43,7 @@ def documents(spark, sf_dir):
 
 
 def brute_exact(rows):
+    """(id, keep id, size, kept, hash); of rows that tie on the id that stays, the first one stays."""
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[(t or "").translate(LOW)].append(i)
@@ -50,7 +51,7 @@ def brute_exact(rows):
     for t, ids in groups.items():
         known = [i for i in ids if i is not None]
         keep = max(known) if known else None
-        out += [(i, keep, len(ids), i == keep, sha(t)) for i in ids]
+        out += [(i, keep, len(ids), k == ids.index(keep), sha(t)) for k, i in enumerate(ids)]
     return sorted(map(str, out))
 
 
@@ -64,6 +65,22 @@ def test_exact(spark, sf_dir):
     assert exactdedup.drop_exact_copies(docs).count() == len({t.translate(LOW) for _, t in rows})
 
 
+def test_exact_copies_are_dropped_by_row(spark, monkeypatch):
+    from codequarry.llm import common
+
+    rows = [*ODD, (5, "x"), (5, "y"), (9, "Y"), (5, "X"), (None, "z"), (None, "Z"), *((k, "copy") for k in range(30))]
+    want = sorted(x for x in ((literal_eval(r)[0], literal_eval(r)[4]) for r in brute_exact(rows) if literal_eval(r)[3]) for x in [str(x)])
+    for heavy in (10_000, 2, 0):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = exactdedup.drop_exact_copies(frame(spark, rows, _keep="clash", extra=1))
+        assert got.columns[-2:] == ["_keep", "extra"]
+        assert sorted(str((r["doc_id"], sha((r["text"] or "").translate(LOW)))) for r in got.collect()) == want
+        assert sorted(str(tuple(r)) for r in exactdedup.exact_groups(frame(spark, rows)).collect()) == brute_exact(rows)
+    assert exactdedup.drop_exact_copies(frame(spark, [])).count() == 0
+    words = spark.createDataFrame([("b", "t"), ("a", "T"), (None, "t")], "doc_id string, text string")
+    assert [r["doc_id"] for r in exactdedup.drop_exact_copies(words).collect()] == ["b"]
+
+
 # ---- sharding
 
 
