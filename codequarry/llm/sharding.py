@@ -1,17 +1,22 @@
 """Sharding over fixed virtual slots (DataFrame functions on the data path).
 
 Every record is hashed into one of a few thousand virtual slots, for good: the slot of a
-record never changes. What can change is the slot-to-shard map, a versioned table of one
-entry per slot. Bytes are summed per slot, and rebalancing edits the map: slots move (or
-swap) from the heaviest shard to the lightest until no edit lowers the spread, and the
-edited map is stored as the next version. Only the map, whose size is the number of slots,
+record (its id and text) never changes. What can change is the slot-to-shard map, a versioned
+table of one entry per slot. Bytes are summed per slot, and rebalancing edits the stored map:
+slots move (or swap) from the heaviest shard to the lightest until no edit lowers the spread,
+and the edited map is stored as the next version; a map that is in balance stays in force. A
+version, once stored, is never written again. Only the map, whose size is the number of slots,
 is ever on the driver.
 
 Law: ``bytes`` - the shards' sizes are near equal.
 
-Defined results: a null text has no bytes (size 8, CRC 0); records with a null id hash like
-any other value; records equal in id and text share a virtual slot; an empty table gives an
-empty result; other columns of the input are not read.
+A record's place in its shard is the number of records in the shard's earlier virtual slots
+plus its rank within its own. Slots with far more rows than others - records that repeat very
+often in id and text - are ranked in ``SALTS`` parts, so no task sorts a whole hot slot.
+
+Defined results: a null text has no bytes (size 8, CRC 0); a null id hashes like any other
+value; records equal in id and text share a virtual slot; an empty table gives an empty
+result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import bisect
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +34,8 @@ from .common import checkpointed, new_folder
 SLOTS = 8192
 #: Bytes that a record costs beside its text.
 OVERHEAD = 8
+#: A slot with more than so many times the mean number of rows is hot; parts of a hot slot.
+HOT, SALTS = 16, 256
 
 
 @dataclass(frozen=True)
@@ -93,8 +101,8 @@ class SlotMap:
         )
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        """Append this version to the map's table."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(folder)
+        """Add this version to the map's table; one that is there already is an error."""
+        self.frame(spark).drop("version").coalesce(1).write.parquet(f"{folder}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
@@ -105,6 +113,20 @@ class SlotMap:
         of = dict((r[0], r[1]) for r in rows)
         return SlotMap(version, max(of.values()) + 1, tuple(of[s] for s in range(len(of))))
 
+    @staticmethod
+    def current(spark: SparkSession, folder: str, shards: int, slots: int = SLOTS) -> SlotMap:
+        """The map in force; where none is stored, the initial one, which then is."""
+        try:
+            found = SlotMap.load(spark, folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = SlotMap.initial(shards, slots)
+            found.save(spark, folder)
+        if len(found.shard_of) != slots:
+            raise ValueError(f"the map at {folder} has {len(found.shard_of)} slots, not {slots}")
+        return found
+
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Per record: id, size, CRC of the text and the virtual slot."""
@@ -113,8 +135,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
         F.col(id_col).alias("_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    ).withColumn("virtual_slot", F.pmod(F.xxhash64("_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
 def assign_shards(
@@ -125,37 +146,48 @@ def assign_shards(
     slots: int = SLOTS,
     map_folder: str | None = None,
 ) -> DataFrame:
-    """Every record with its shard under the rebalanced map, and its place in the shard.
-
-    The place is the number of records in the shard's earlier virtual slots plus the rank
-    within the own virtual slot, so no task ever sorts a whole shard.
+    """Every record with its shard under the map in force, rebalanced first if its shards are
+    out of balance or another number is asked for, and its place in the shard. The map is
+    stored at ``map_folder``, or in a fresh folder under the shared one.
     """
     spark = docs.sparkSession
-    records = sized(docs, id_col, text_col, slots)
+    # Light rows, kept: a record has one number, and texts are read once.
+    records = checkpointed(sized(docs, id_col, text_col, slots).withColumn("_at", F.monotonically_increasing_id()))
     # One row per slot, bounded by `slots`.
-    per_slot = checkpointed(records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
-    measured = {r["virtual_slot"]: (r["bytes"], r["rows"]) for r in per_slot.collect()}
+    per_slot = records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    size_of, rows_of = {r["virtual_slot"]: r["bytes"] for r in per_slot}, {r["virtual_slot"]: r["rows"] for r in per_slot}
 
     folder = map_folder or new_folder(spark, "slot-map")
-    first = SlotMap.initial(shards, slots)
-    first.save(spark, folder)
-    second = first.rebalanced({s: b for s, (b, _) in measured.items()})
-    second.save(spark, folder)
-
+    before = SlotMap.current(spark, folder, shards, slots)
+    now = before.rebalanced(size_of, shards)
+    if now.shard_of == before.shard_of:
+        now = before
+    else:
+        now.save(spark, folder)
+
+    # Hot slots, fewer than slots / HOT of them, are counted in parts.
+    hot = sorted(s for s, n in rows_of.items() if n * slots > HOT * sum(rows_of.values()))
+    salt = F.when(F.col("virtual_slot").isin(hot), F.pmod(F.xxhash64("_at"), F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0)
+    records = records.withColumn("_salt", salt)
+    parts: dict[int, dict[int, int]] = {s: {0: n} for s, n in rows_of.items()}
+    if hot:
+        parts |= {s: {} for s in hot}
+        for r in records.where(F.col("virtual_slot").isin(hot)).groupBy("virtual_slot", "_salt").count().collect():
+            parts[r["virtual_slot"]][r["_salt"]] = r["count"]
     begin, places = [0] * shards, []
-    for slot, shard in enumerate(second.shard_of):
-        places.append(begin[shard])
-        begin[shard] += measured.get(slot, (0, 0))[1]
-    # Two literal arrays of `slots` entries each: a few KB that every task carries.
-    shard_of = F.split(F.lit(",".join(map(str, second.shard_of))), ",")
-    base_of = F.split(F.lit(",".join(map(str, places))), ",")
-    bases = spark.range(1).select(F.posexplode(F.arrays_zip(shard_of.alias("s"), base_of.alias("b")))).select(
-        F.col("pos").alias("virtual_slot"), F.col("col.s").cast("int").alias("shard"), F.col("col.b").cast("long").alias("_base")
+    for slot, shard in enumerate(now.shard_of):
+        for k, n in sorted(parts.get(slot, {}).items()):
+            places.append(f"{slot},{k},{shard},{begin[shard]}")
+            begin[shard] += n
+    # A literal of a few numbers per slot: at most a few hundred KB, and SALTS entries more per hot slot.
+    one = F.split("place", ",")
+    bases = spark.range(1).select(F.explode(F.split(F.lit(";".join(places)), ";")).alias("place")).where("place <> ''").select(
+        one[0].cast("int").alias("virtual_slot"), one[1].cast("int").alias("_salt"), one[2].cast("int").alias("shard"), one[3].cast("long").alias("_base")
     )
-    within = Window.partitionBy("virtual_slot").orderBy("_id", "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot", "_salt").orderBy("_id", "text_crc32", "size")
     return (
         records.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(bases), "virtual_slot")
+        .join(F.broadcast(bases), ["virtual_slot", "_salt"])
         .select(
             F.col("_id").alias(id_col),
             "size",
@@ -165,6 +197,6 @@ def assign_shards(
             (F.col("_base") + F.col("_rank")).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "virtual_slot",
-            F.lit(second.version).alias("map_version"),
+            F.lit(now.version).alias("map_version"),
         )
     )
