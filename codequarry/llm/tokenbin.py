@@ -1,6 +1,7 @@
 """Token-id files with Elias-Fano document boundaries.
 
-Documents are range-partitioned by id and their ids concatenated, block by block. A block
+Documents are range-partitioned by id (rows that repeat an id by a hash of their text too, so
+that no id fills a task) and their ids concatenated, block by block. A block
 holds the ids as one array (two bytes each where the vocabulary allows), and the documents'
 end positions in Elias-Fano form: the low bits of each position packed, the high bits in
 unary, with the place of every 256th one sampled. ``select(i)`` - the end of document i -
@@ -12,9 +13,11 @@ Blocks are kept as rows of a Parquet table (block number, bytes), so that any st
 Spark writes to will do, and a lost task is simply run again. A block starts with a header;
 its global start is the sum of the ids of the blocks before it, from a small index.
 
+Reading takes every document by ``select``: its two ends and its id.
+
 Defined results: a null or empty text is the end id alone; rows that repeat an id stand in
-the order of their ids' CRC; null ids come first; an empty table gives an empty file set and
-an empty result; other columns are not read.
+the order of a hash of their texts; null ids come first; an empty table gives an empty file
+set and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import new_folder, partitions
 from .tokens import FastTokenizer, public_path, tokenizer
 
 MAGIC = b"CQTB0001"
-#: Ids of a block at most, unless one document has more.
+#: A block ends with the document that reaches so many ids.
 BLOCK_IDS = 500_000
 SAMPLE = 256
 _HEADER = struct.Struct("<8sQQQBBHI")  # magic, documents, ids, nulls, id bytes, reserved, reserved, crc of the ids
@@ -41,8 +44,9 @@ _HEADER = struct.Struct("<8sQQQBBHI")  # magic, documents, ids, nulls, id bytes,
 class EliasFano:
     """A non-decreasing sequence of numbers in near-minimal space, with select."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes) -> None:
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        self.places = memoryview(samples).cast("I") if samples else ()
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
@@ -58,39 +62,36 @@ class EliasFano:
             low = ((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()
         else:
             low = np.zeros(0, np.uint8)
-        pack = lambda b: np.packbits(b, bitorder="little")
-        return EliasFano(n, low_bits, pack(low), pack(bits), high[::SAMPLE].astype(np.uint32))
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.uint64)
-        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        pack = lambda b: np.packbits(b, bitorder="little").tobytes()
+        return EliasFano(n, low_bits, pack(low), pack(bits), high[::SAMPLE].astype("<u4").tobytes())
 
     def select(self, i: int) -> int:
-        """Value number i."""
-        bit = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
-        byte = bit >> 3
-        word = int(self.high[byte]) >> (bit & 7) << (bit & 7)
+        """Value number i: the nearest sample, then ones counted word by word from there."""
+        bit, left = self.places[i // SAMPLE], i % SAMPLE
+        at = bit >> 3
+        word = int.from_bytes(self.high[at : at + 8], "little") >> (bit & 7) << (bit & 7)
         while (ones := word.bit_count()) <= left:
             left -= ones
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        place = byte * 8 + (word & -word).bit_length() - 1
-        return (place - i << self.low_bits) | int(self._low(np.array([i]))[0])
-
-    def all(self) -> np.ndarray:
-        """Every value, as the block's reader wants them."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        index = np.arange(self.n)
-        return ((places - index).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(index)
+            at += 8
+            word = int.from_bytes(self.high[at : at + 8], "little")
+        place, width = at * 8, 32
+        while width:
+            low = word & ((1 << width) - 1)
+            if (ones := low.bit_count()) <= left:
+                left -= ones
+                word >>= width
+                place += width
+            else:
+                word = low
+            width >>= 1
+        if not self.low_bits:
+            return place - i
+        first = i * self.low_bits
+        rest = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], "little") >> (first & 7)
+        return (place - i << self.low_bits) | rest & ((1 << self.low_bits) - 1)
 
     def to_bytes(self) -> bytes:
-        parts = [p.tobytes() for p in (self.low, self.high, self.samples.astype("<u4"))]
+        parts = self.low, self.high, self.samples
         return struct.pack("<QBIII", self.n, self.low_bits, *map(len, parts)) + b"".join(parts)
 
     @staticmethod
@@ -98,8 +99,8 @@ class EliasFano:
         n, low_bits, *sizes = struct.unpack_from("<QBIII", raw, at)
         at += struct.calcsize("<QBIII")
         parts = []
-        for size, kind in zip(sizes, (np.uint8, np.uint8, "<u4"), strict=True):
-            parts.append(np.frombuffer(raw[at : at + size], kind))
+        for size in sizes:
+            parts.append(bytes(raw[at : at + size]))
             at += size
         return EliasFano(n, low_bits, *parts), at
 
@@ -150,13 +151,10 @@ class Block:
         return self.ids[a:b]
 
     def rows(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc id, start in the block, ids) of every document in turn."""
-        ends = self.ends.all().astype(np.int64).tolist()
-        known = (self.doc_ids.all().astype(np.int64) + self.base).tolist()
-        start = 0
-        for i, end in enumerate(ends):
-            yield (None if i < self.nulls else known[i - self.nulls]), start, self.ids[start:end]
-            start = end
+        """(doc id, start in the block, ids) of every document in turn, each by its selects."""
+        for i in range(self.n):
+            start, end = self.bounds(i)
+            yield self.doc_id(i), start, self.ids[start:end]
 
 
 def write_token_files(
@@ -184,8 +182,6 @@ def write_token_files(
 
         def block(rows: list[tuple]) -> pa.RecordBatch:
             nonlocal start
-            # Rows of one id stand in the order of their ids' CRC; nulls come first already.
-            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1]), r[1]))
             ids = sum(len(r[1]) for r in rows) // 4
             raw = encode_block([r[0] for r in rows], [r[1] for r in rows], width)
             out = pa.RecordBatch.from_pylist([{"part": part, "start": start, "ids": ids, "block": raw}], schema)
@@ -195,8 +191,7 @@ def write_token_files(
         held, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # A block never ends between rows of one id.
-                if size >= block_ids and doc_id != held[-1][0]:
+                if size >= block_ids:
                     yield block(held)
                     held, size = [], 0
                 held.append((doc_id, tok.ids(text or "") + end))
@@ -204,11 +199,14 @@ def write_token_files(
         if held:
             yield block(held)
 
-    by_id = F.col("_id").asc_nulls_first()
+    # Rows equal in id and text, whose order doesn't matter, are told apart by their task.
+    order = (F.col("_id").asc_nulls_first(), F.col("_hash"), F.col("_task"))
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-        .repartitionByRange(partitions(docs.sparkSession), by_id)
-        .sortWithinPartitions(by_id)
+        .withColumns({"_hash": F.xxhash64("_text"), "_task": F.spark_partition_id()})
+        .repartitionByRange(partitions(docs.sparkSession), *order)
+        .sortWithinPartitions(*order)
+        .select("_id", "_text")
     )
     # Ids are close to random bits: compressing them again would cost time and gain little.
     blocks = ordered.mapInArrow(encode, "part int, start long, ids long, block binary")
