@@ -3,8 +3,9 @@
 Test items are normalised (A-Z lower-cased; words of letters, digits and everything beyond
 ASCII) and cut into windows of ``window`` consecutive words; an item of fewer words is one
 window. All windows go into one automaton. Each document is normalised the same way and
-scanned once; matches come back as word numbers and, in ``contaminated_spans``, as offsets
-in the original text.
+scanned once. Matches come back as word numbers, and in ``contaminated_spans`` as offsets in
+the original text: normalising changes no byte's place before separators are closed up, so the
+words' places in it are those of the original, counted in code points.
 
 The automaton is built from the collected items. Their size is checked first: items beyond
 ``block_bytes`` of window text form further blocks with an automaton each, which every batch
@@ -19,10 +20,10 @@ untouched, but give way to the operator's own names.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,6 @@ from .common import row_columns, whole_row
 _TO = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-_ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -106,18 +106,25 @@ class _Scanner:
         return out
 
 
-def _spans(text: str, hit: set[int]) -> list[tuple[int, int]]:
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end in it, in code points."""
+    raw = text.encode("utf-8", "surrogatepass")
+    in_word = np.frombuffer(raw.translate(_TO), np.uint8) != 0x20
+    edges = np.flatnonzero(np.diff(np.r_[False, in_word, False]))
+    if len(raw) > len(text):
+        # The number of characters begun before each byte.
+        begun = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+        edges = begun[edges]
+    return edges[::2], edges[1::2]
+
+
+def _spans(text: str, hit: set[int]) -> list[dict[str, int]]:
     """Offsets in the original text of each run of hit words."""
-    spans: list[list[int]] = []
-    last = -2
-    for k, m in enumerate(_ORIGINAL_WORD.finditer(text)):
-        if k in hit:
-            if k == last + 1:
-                spans[-1][1] = m.end()
-            else:
-                spans.append([m.start(), m.end()])
-            last = k
-    return [tuple(s) for s in spans]
+    starts, ends = word_places(text)
+    words = np.array(sorted(hit))
+    first = np.flatnonzero(np.diff(words, prepend=-2) > 1)
+    last = np.r_[first[1:] - 1, len(words) - 1]
+    return [{"start": a, "end": b} for a, b in zip(starts[words[first]].tolist(), ends[words[last]].tolist(), strict=True)]
 
 
 def mark_contaminated(
@@ -162,7 +169,7 @@ def mark_contaminated(
                             len(items),
                             hashlib.sha256(",".join(ids).encode()).hexdigest(),
                             bool(hit) and min_share * len(hit) >= len(own),
-                            [{"start": a, "end": b} for a, b in _spans(text, hit)] if hit and with_spans else [],
+                            _spans(text, hit) if hit and with_spans else [],
                         )
                     )
             yield pd.DataFrame(rows, columns=[*MADE, "contaminated_spans"])

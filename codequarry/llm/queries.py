@@ -13,8 +13,9 @@ from .common import table
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = decontam.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), window=13, min_share=20, with_spans=False)
-    return marked.select("doc_id", *decontam.MADE)
+    marked = decontam.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), window=13, min_share=20)
+    spans = F.transform("contaminated_spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return marked.select("doc_id", *decontam.MADE, F.array_join(spans, ",").alias("hit_spans"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,14 +84,29 @@ runs AS (
   SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS w
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lengths WHERE len(ws) >= n)),
 hits AS (SELECT doc_id, item_id, r.n, i FROM runs r JOIN windows w ON r.w = w.w AND r.n = w.n),
-hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+hit_words AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY 1),
+pieces AS (
+  SELECT doc_id, k, ps[k] AS piece FROM (
+    SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (
+      SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ps
+      FROM documents WHERE doc_id IN (SELECT doc_id FROM places)))),
+placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM pieces),
+word_places AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p, b - length(piece) AS a, b FROM placed
+  WHERE regexp_matches(piece, '^[^\x00-\x2F\x3A-\x60\x7B-\x7F]')),
+hit_runs AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b FROM (
+    SELECT doc_id, a, b, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM word_places JOIN places USING (doc_id, p))
+  GROUP BY doc_id, g),
+hit_spans AS (SELECT doc_id, string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a) AS hit_spans FROM hit_runs GROUP BY 1),
 hit_items AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(hit_spans, '') AS hit_spans
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN hit_spans USING (doc_id)
 """,
     "op7_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
