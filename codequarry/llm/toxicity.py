@@ -7,16 +7,20 @@ within one edit. Matches score by their context: other matches within the window
 match, quotation marks around it lower it. A logistic regression over a document's match
 scores, fitted on the same labelled rows, gives the final score.
 
-Terms under four letters are not learned. Misspellings are looked for of every entry but
-beginnings that need two different words, and those near ordinary words of clean rows.
+Whole words of two characters or more are learned, and beginnings of 4 to 7 letters (a longer
+beginning is met by its first seven). Misspellings are looked for of every entry of four letters
+or more but beginnings that need two different words, and those near ordinary words of clean
+rows. The weight of a match in quotation marks is set, not learned; what share of the matches
+stands in quotations is one of the regression's inputs.
 
-Training takes at most ``max_train`` labelled rows (default 10,000), chosen by hash. Ids,
-language, source and labels are never inputs. Without labelled rows of both kinds the score
-is the labels' mean, or 0.5.
+Training takes at most ``max_train`` labelled rows (default 10,000), chosen by hash; every word
+of these is weighed. Ids, language, source and labels are never inputs. Without labelled rows
+of both kinds the score is the labels' mean, or 0.5.
 
 Defined results: a null or empty text has no matches and the score of that; rows with
-repeated or null ids are scored one by one; other columns are passed on, but give way to
-made names.
+repeated or null ids are scored one by one, and of a labelled id one row is learned from, or
+none if its labels disagree; empty tables are fine; other columns are passed on, but give way
+to made names.
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ _CLOSED_BY, _EITHER = {"«": "»", "“": "”", "„": "“”", "‹": "›"},
 _MARKS = re.compile("[«»“”„‹›\"\n]")
 #: Words on each side that a match's context takes in.
 WINDOW = 12
-MIN_LENGTH, FUZZY_LENGTH = 4, 4
+#: Least length of a learned word; lengths of learned beginnings; least length of what is met misspelled.
+MIN_LENGTH, BEGINNINGS, FUZZY_LENGTH = 2, range(4, 8), 4
 SEEN = 300_000
 #: Clean documents that hold an entry count so many times against it.
 CLEAN_COST = 2
@@ -264,10 +269,11 @@ def choose_entries(
     explain most. Of related entries that do nearly as well, the most specific one is taken.
     """
     chosen: list[int] = []
+    taken: set[int] = set()  # the chosen ones' families
 
     def related(a: int, b: int) -> bool:
-        x, y = listed[a][0], listed[b][0]
-        return x.startswith(y) or y.startswith(x)
+        x, y = sorted((listed[a][0], listed[b][0]), key=len)
+        return y.startswith(x) and (len(x) >= BEGINNINGS.start or x == y)
 
     def significant(k: int, t: int, unexplained: int, margin: float) -> bool:
         c = listed[k][2]
@@ -281,12 +287,13 @@ def choose_entries(
     def add(gain: Counter, good: list[int]) -> bool:
         """The best new family among the good ones, by its most specific member."""
         worth = lambda k: gain[k] - CLEAN_COST * listed[k][2]
-        good = [k for k in good if worth(k) > 0 and not any(related(k, q) for q in chosen)]
+        good = [k for k in good if worth(k) > 0 and k not in taken]
         if not good:
             return False
         best = max(good, key=lambda k: (worth(k), listed[k][0]))
         family = [k for k in good if related(k, best) and worth(k) >= 0.9 * worth(best)]
         chosen.append(min(family, key=lambda k: (listed[k][1], -len(listed[k][0]), listed[k][0])))
+        taken.update(k for k in range(len(listed)) if related(k, chosen[-1]))
         return True
 
     every: Counter = Counter(k for own in toxic for k in own)
@@ -320,9 +327,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(id_crc(id_col), F.lit(4)) == 2
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, max_entries: int = 4_000) -> ToxicModel:
-    """The model from labelled rows outside the held-out fold; at most ``max_train`` of them,
-    and at most ``max_entries`` candidate entries, the most frequent in toxic rows."""
+def own_entries(text: str) -> set[str]:
+    """What of a text may become an entry: words as they are, beginnings with one mark, and
+    with two marks those that two different words of the text have."""
+    own = {w for w in WORD.findall(text.lower()) if len(w) >= MIN_LENGTH and not w.isdigit()}
+    begun = Counter(w[:n] for w in own if w.isalpha() for n in BEGINNINGS if n <= len(w))
+    return own | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n > 1}
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000) -> ToxicModel:
+    """The model from labelled rows outside the held-out fold, at most ``max_train`` of them."""
     spark = docs.sparkSession
     rows = checkpointed(training_rows(docs, labels, "toxic", held_out(), max_train))
     totals = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -331,11 +345,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
         mean = toxic / (toxic + clean) if toxic + clean else 0.5
         return ToxicModel((), frozenset(), frozenset(), (math.log((mean + 1e-3) / (1 - mean + 1e-3)), *(0.0,) * FEATURES))
 
-    def own_entries(text: str) -> set[str]:
-        own = {w for w in WORD.findall(text.lower()) if len(w) >= MIN_LENGTH and w.isalpha()}
-        begun = Counter(w[:n] for w in own for n in range(MIN_LENGTH, min(len(w), 7) + 1))
-        return own | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n > 1}
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             by: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -349,7 +358,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where("toxic >= 3")
     )
-    likely = counted.where(F.col("toxic") >= CLEAN_COST * F.col("clean")).orderBy(F.desc("toxic"), "entry").limit(max_entries).collect()
+    # No more than the distinct words of max_train rows.
+    likely = counted.where(F.col("toxic") >= CLEAN_COST * F.col("clean")).orderBy(F.desc("toxic"), "entry").collect()
     listed = [(r["entry"].rstrip("*"), r["entry"].count("*"), r["clean"]) for r in likely]
     place = spark.sparkContext.broadcast({r["entry"]: k for k, r in enumerate(likely)})
 
@@ -360,7 +370,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
             own = [sorted({of[e] for e in own_entries(t) if e in of}) for t in texts]
             yield pd.DataFrame({"own": own, "marks": [marks_of(t) for t in texts]})
 
-    # At most max_train rows of at most max_entries numbers and 16 marks.
+    # At most max_train rows, each of its own likely entries and 16 marks.
     explaining = rows.where("_y = 1").mapInPandas(explained, "own array<int>, marks array<long>").collect()
     by_document = independent(sorted((list(r["own"]), list(r["marks"])) for r in explaining))
     entries = choose_entries(listed, by_document, clean, counted.count())
@@ -403,7 +413,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, ma
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score, predicted and n_matches."""
-    # The lexicon has at most a few thousand entries.
+    # Chosen entries explain toxic rows of the training set, ordinary words are of its clean rows.
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, n_matches long")

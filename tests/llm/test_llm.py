@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codequarry.llm import components, decontam, exactdedup, jaccard, linededup, packing, quality, secretscan, sharding, tokenbin, tokens, toxicity
+from codequarry.llm import components, decontam, exactdedup, jaccard, labelled, linededup, packing, quality, secretscan, sharding, tokenbin, tokens, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -439,6 +439,22 @@ def test_decontamination(spark, sf_dir, block):
     assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
+def test_places_of_words_in_the_original(spark):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    for t in [*(t or "" for _, t in TEXTS), "  é1--Ü2\n日本 x😀y ", "", "...", "a", "ß\x85 b"]:
+        starts, ends = decontam.word_places(t)
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [m.span() for m in pattern.finditer(t)]
+    assert decontam._spans("Ünder - a B,c d", {0, 2, 3}) == [{"start": 0, "end": 5}, {"start": 10, "end": 13}]
+
+
+def test_decontamination_of_a_text_of_megabytes(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    long = "word " * 400_000 + "SHORT -- one" + " word" * 400_000
+    r = decontam.mark_contaminated(frame(spark, [(1, long)]), items).first()
+    assert (r["n_words"], r["n_hit"], r["contaminated"]) == (800_002, 2, False)
+    assert [long[a:b] for a, b in r["contaminated_spans"]] == ["SHORT -- one"]
+
+
 def test_decontamination_spans_and_drop(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontam.mark_contaminated(frame(spark, [(1, "Well, SHORT - one.")]), items).first()
@@ -638,6 +654,19 @@ def held_out_accuracy(rows, label):
 SF01 = "/root/testdata/sf0.01"
 
 
+def test_training_rows(spark):
+    """One row an id, none whose labels disagree, never a held-out or unknown one; the bound holds for ids that repeat."""
+    docs = frame(spark, [*((k, f"text {k}") for k in range(40)), *((3, f"again {k}") for k in range(50)), (None, "x"), (5, None)])
+    labels = [(k, k % 2) for k in range(40)] + [(3, 1)] * 5 + [(7, 0), (7, 1), (None, 1), (9, None), (11, 7)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = labelled.training_rows(docs, labels, "quality", F.col("doc_id") == 8, 1000).collect()
+    texts = [r["_text"] for r in rows]
+    assert len(texts) == len(set(texts)) == 38 and "text 7" not in texts and "text 8" not in texts
+    assert sum(t.startswith("again") or t == "text 3" for t in texts) == 1
+    assert len(labelled.training_rows(docs, labels, "quality", F.lit(False), 10).collect()) == 10
+    assert labelled.training_rows(docs.limit(0), labels, "quality", F.lit(False), 10).count() == 0
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit_quality(docs, labels)
