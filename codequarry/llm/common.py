@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,8 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``). One is set on
-    the driver's own disk only where the session names none, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where the session
+    names none, a folder of this machine serves, but only if everything runs on it, as in tests."""
     here = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if here:
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(here)
         return here
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="codequarry-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -633,6 +633,32 @@ def test_secret_model_on_held_out_samples():
     assert np.mean(caught) > 0.9 and np.mean(wrong) < 0.005
 
 
+def test_planted_secrets_without_a_pattern_are_found(spark, sf_dir):
+    """Keys that no base pattern matches, set into prose: at least nine in ten are found whole; prose alone has none."""
+    rng = random.Random(11)
+    prose = [r["text"] for r in documents(spark, sf_dir).select("text").limit(40).collect()]
+    kinds = (secretscan.ALPHABET[:52], secretscan.ALPHABET[:62], secretscan.ALPHABET[:64], secretscan.ALPHABET[26:62])
+    rows, planted = [], {}
+    for k in range(400):
+        key = "".join(rng.choices(kinds[k % 4], k=rng.randint(20, 48)))
+        key = "k" + key[1:-1] + "z"  # no sign at its ends
+        words = prose[k % len(prose)].split(" ")
+        at = rng.randrange(len(words))
+        before = " ".join([*words[:at], ""])
+        rows.append((k, before + key + " " + " ".join(words[at:])))
+        planted[k] = (len(before), len(before) + len(key))
+        assert not any(a < planted[k][1] and planted[k][0] < b for a, _, b in secretscan.base_spans(rows[-1][1]))
+    found = {r["doc_id"]: r["spans"].split(",") for r in secretscan.scan_secrets(frame(spark, rows)).collect()}
+    caught = [f"markov:{a}:{b}" in found[k] for k, (a, b) in planted.items()]
+    assert np.mean(caught) >= 0.9
+    clean = secretscan.scan_secrets(frame(spark, list(enumerate(prose)))).collect()
+    assert not any("markov" in r["spans"] for r in clean)
+    # Models come from the samples: with labels exchanged the keys look ordinary.
+    turned = [(s, 1 - y) for s, y in secretscan.labelled_samples()]
+    assert not any("markov" in r["spans"] for r in secretscan.scan_secrets(frame(spark, rows[:50]), samples=turned).collect())
+    assert secretscan.scan_secrets(frame(spark, [])).count() == 0
+
+
 def test_secret_keys_of_letters_alone():
     model, rng = secretscan.SecretModel(secretscan.labelled_samples()), random.Random(3)
     keys = ["".join(rng.choices(secretscan.ALPHABET[:52], k=24)) for _ in range(300)]
@@ -681,6 +707,67 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(3), none).first()["score"] == pytest.approx(0.5)
 
 
+def brute_statistics(text):
+    raw = text.encode()
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", raw)
+    if not words:
+        return [0.0] * 15
+    lines, n = raw.split(b"\n"), len(raw)
+    share = lambda pattern: len(re.findall(pattern, raw)) / n
+    marks = rb"[.,;:'\"()?-]"
+    symbols = sum(chr(b) in "!#$%&*+/<=>@[\\]^_`{|}~" for b in raw) / n
+    pairs = [(words[i], words[i + 1]) for i in range(len(words) - 1)]
+    most = max(sum(w == x for w in words) for x in set(words))
+    return [
+        len(words), sum(len(w) for w in words) / len(words), max(len(w) for w in words), share(rb"[A-Z]"), symbols, share(rb"[0-9]"), share(marks),
+        share(rb"[\x80-\xff]"), len(set(words)) / len(words), sum(a == b for a, b in pairs) / len(words), len(set(pairs)) / max(1, len(pairs)), most / len(words),
+        len(lines), 1 - len(set(lines)) / len(lines), n / len(lines),
+    ]
+
+
+def test_statistics_against_plain_counts(sf_dir):
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet'").fetchall()][:80]
+    for t in [*(t or "" for _, t in ODD), *texts, "spam " * 9, "a a b A é É ~{x}"]:
+        assert quality.statistics(t) == pytest.approx(brute_statistics(t))
+    assert quality.statistics(None) == quality.statistics("")
+
+
+def test_statistics_do_not_hang_on_the_hash_seed(sf_dir):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = (
+        "import duckdb, hashlib\nfrom codequarry.llm.quality import statistics\n"
+        f"texts = duckdb.sql(\"SELECT text FROM '{sf_dir}/documents.parquet' ORDER BY doc_id\").fetchall()\n"
+        "print(hashlib.sha256(repr([statistics(t) for (t,) in texts]).encode()).hexdigest())"
+    )
+    said = [subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONHASHSEED": str(k)}, capture_output=True, text=True, check=True).stdout.split()[-1] for k in (1, 2)]
+    assert said[0] == said[1] and len(said[0]) == 64
+
+
+def test_classifiers_on_odd_tables(spark):
+    """Empty tables, labels of one kind, repeated and contradicting labels, very long texts."""
+    rows = [(k, ("good words here " if k % 2 else "$$$ !!! 99 ") * (1 + k % 7)) for k in range(300)]
+    rows += [(3, "good again"), (None, None), (900, "word " * 500_000)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(300)] + [(3, 0, 0)] * 3 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)
+    rated = quality.score_quality(docs, model).collect()
+    assert len(rated) == len(rows) and all(0 <= r["score"] <= 1 for r in rated)
+    toxic = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    assert len(toxic) == len(rows) and all(0 <= r["score"] <= 1 for r in toxic)
+    none = docs.limit(0)
+    for one in (labels, labels.limit(0), labels.where("quality = 1 AND toxic = 0")):
+        for some in (docs, none):
+            assert quality.score_quality(none, quality.fit_quality(some, one)).count() == 0
+            assert toxicity.score_toxicity(none, toxicity.fit_toxicity(some, one)).count() == 0
+    assert quality.keep_good(docs, labels.limit(0)).count() == len(rows)
+
+
 def test_top_word_counts_every_word():
     top = quality.STATS.index("top_word")
     few, many = [f"w{k}" for k in range(51)], [f"w{k}" for k in range(500)]
@@ -816,6 +903,40 @@ def test_pipeline(spark, sf_dir):
     assert p.run(spark, sf_dir).count() == packed.count()
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null and repeated ids, null texts, clashing columns, and tables without rows."""
+    import corpus_pipeline as p
+
+    rows = [*ODD, *((100 + k, f"some shared line\nown words of number {k} " + "and more of them " * k) for k in range(15))]
+    clashing = {"_row": 1, "_rid": "x", "_text": "y", "node": 2, "score": 0.5, "contaminated": True, "words": "w", "_bt": 1}
+    labels = spark.createDataFrame([(100, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for name, docs in (("odd", frame(spark, rows, **clashing)), ("empty", frame(spark, [], **clashing)), ("nothing", frame(spark, rows))):
+        folder = str(tmp_path / name)
+        for table, df in (("documents", docs), ("labels", labels if name == "odd" else labels.limit(0)), ("benchmark", items if name == "odd" else items.limit(0))):
+            df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        current, counts = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for k, (_, stage) in enumerate(p.STAGES):
+            made = stage(spark, current, folder)
+            made.write.parquet(f"{folder}/stage{k}")
+            if k + 1 < len(p.STAGES):
+                assert made.columns == current.columns
+            current = spark.read.parquet(f"{folder}/stage{k}")
+            counts.append(current.count())
+        if name == "empty":
+            assert counts == [0] * 5
+            continue
+        assert counts[0] == counts[1] == len(rows)  # labels of one kind, or none, reject nothing
+        cut = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/stage1").collect()]
+        assert all("some shared line" not in t for _, t in cut)
+        left = spark.read.parquet(f"{folder}/stage2").collect()
+        assert sorted(str(r["doc_id"]) for r in left) == brute_survivors(cut, 5, 80, 100)
+        kept = {str((r["doc_id"], r["text"])) for r in spark.read.parquet(f"{folder}/stage3").collect()}
+        dirty = {literal_eval(x)[0] for x in brute_contamination([(r["doc_id"], r["text"]) for r in left], ITEMS if name == "odd" else []) if literal_eval(x)[5]}
+        assert kept == {str((r["doc_id"], r["text"])) for r in left if r["doc_id"] not in dirty}
+        assert counts[4] >= counts[3] and p.run(spark, folder).count() == counts[4]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
