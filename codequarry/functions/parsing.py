@@ -48,13 +48,16 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 def parse_diff(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(path, start_line, end_line) of the hunks of a unified diff, from (line_no, line), for
-    each diff named by ``keys``. The file in force is carried forward over the lines."""
+    each diff named by ``keys``. The file in force is carried forward over the lines; its header
+    may or may not have the prefix ``b/``. Without keys the lines are one diff, in one task."""
     line, keys = F.col("line"), keys or []
     # /dev/null ends a file: an empty name, dropped below.
-    marker = F.when(line.startswith("+++ /dev/null"), "").when(line.startswith("+++ b/"), F.substr(line, F.lit(7)))
+    named = F.btrim(F.substr(line, F.lit(5)), F.lit(" \t\r"))
+    plain = F.when(named.startswith("b/"), F.substr(named, F.lit(3))).otherwise(named)
+    marker = F.when(line.startswith("+++ "), F.when(named == "/dev/null", "").otherwise(plain))
     order = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     carried = lines.withColumn("path", F.last(marker, ignorenulls=True).over(order))
-    hunk = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
+    hunk = r"^@@[^+]*\+([0-9]+)(?:,([0-9]+))?"
     start = F.regexp_extract(line, hunk, 1).cast("int")
     count = F.regexp_extract(line, hunk, 2)
     length = F.when(count == "", 1).otherwise(count.cast("int"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,21 +34,33 @@ def snippet(text: Column, start: Column, end: Column) -> Column:
 
 def redacted(text: Column, patterns: list[str], mask: str = "[REDACTED]") -> Column:
     """Every match of every pattern, in order, replaced. A pattern that isn't a valid
-    expression is taken literally."""
+    expression - for Java's engine, which runs it - is taken literally."""
     for pattern in patterns:
-        try:
-            re.compile(pattern)
+        if is_expression(pattern):
             text = F.regexp_replace(text, pattern, mask)
-        except re.error:
+        else:
             text = F.replace(text, F.lit(pattern), F.lit(mask))
     return text
 
 
-#: Patterns redacted by default.
-REDACTIONS = ["BEGIN PRIVATE KEY", "AWS_SECRET_ACCESS_KEY", "API_KEY=", "SECRET_KEY="]
+def is_expression(pattern: str) -> bool:
+    """Whether Java's engine takes the pattern."""
+    try:
+        SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-256 in hex of a file's bytes; what tells versions of a file apart."""
+    return F.sha2(content, 256)
 
 
-def dot_escaped(text: Column, label: bool = False) -> Column:
-    """Backslashes and quotes escaped, and line breaks in labels."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.replace(out, F.lit("\n"), F.lit("\\n")) if label else out
+def short_hash(text: Column) -> Column:
+    """SHA-1 in hex, for names."""
+    return F.sha1(text)
+
+
+#: Patterns redacted by default.
+REDACTIONS = ["BEGIN PRIVATE KEY", "AWS_SECRET_ACCESS_KEY", "API_KEY=", "SECRET_KEY="]

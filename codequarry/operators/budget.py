@@ -3,11 +3,17 @@ and selection goes on after one that doesn't."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Ranked rows looked at in one round of a whole-table selection.
-ROUND = 4096
+from .ranking import global_rank
+from .scratch import kept
+
+#: Ranked rows looked at in one round of a whole-table selection; keys that are sent to every task.
+ROUND, BROADCAST_ROWS = 4096, 100_000
 
 
 def _fits(used: Column, row: Column, costs: list[str], caps: list[int]) -> Column:
@@ -52,28 +58,31 @@ def select_within_budget(
     One request over any number of rows: every round reads the best ``ROUND`` rows that may
     still fit (a distributed top-k), takes what fits, and lowers the budgets. Rows that can't
     fit any more never come back, so rounds are few. What is held on the driver is bounded by
-    ``ROUND`` and by the budget itself. Rows of no cost always fit; a null cost never does.
+    ``ROUND`` and by the budget itself: every row that takes part costs something. Rows of no
+    cost always fit and never meet the driver; a null cost never does.
     """
-    left, kept, after = list(caps), [], None
+    df = kept(df)
+    free = reduce(and_, (F.col(c) == 0 for c in costs)) if min(caps) >= 0 else F.lit(False)
+    may = df.where(~free).select(*dict.fromkeys([key, *(c for c, _ in order), *costs]))
+    left, chosen, after = list(caps), [], None
     sort = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
     while True:
-        may = df.select(*dict.fromkeys([key, *(c for c, _ in order), *costs]))
+        able = may if after is None else may.where(_beyond(order, after))
         for cost, cap in zip(costs, left, strict=True):
-            may = may.where(F.col(cost) <= cap)
-        if after is not None:
-            may = may.where(_beyond(order, after))
-        rows = may.orderBy(*sort).limit(ROUND).collect()
+            able = able.where(F.col(cost) <= cap)
+        rows = able.orderBy(*sort).limit(ROUND).collect()
         for r in rows:
             if all(r[c] <= cap for c, cap in zip(costs, left, strict=True)):
                 left = [cap - r[c] for c, cap in zip(costs, left, strict=True)]
-                kept.append((r[key], len(kept) + 1))
+                chosen.append((r[key],))
         if len(rows) < ROUND:
             break
         after = rows[-1]
-    chosen = df.sparkSession.createDataFrame(kept, f"`{key}` {dict(df.dtypes)[key]}, pick int")
-    used = [F.lit(cap - rest).cast("long").alias(f"used_{c}") for c, cap, rest in zip(costs, caps, left, strict=True)]
-    # As many rows as fit the budget.
-    return df.join(F.broadcast(chosen), key).select("*", *used)
+    keys = df.sparkSession.createDataFrame(chosen, f"`{key}` {dict(df.dtypes)[key]}")
+    taken = df.where(~free).join(F.broadcast(keys) if len(chosen) <= BROADCAST_ROWS else keys, key, "left_semi")
+    used = {f"used_{c}": F.lit(cap - rest).cast("long") for c, cap, rest in zip(costs, caps, left, strict=True)}
+    ranked = global_rank(taken.unionByName(df.where(free)), sort, "pick")
+    return ranked.select(key, *(c for c in df.columns if c != key), F.col("pick").cast("int").alias("pick"), *(v.alias(n) for n, v in used.items()))
 
 
 def _beyond(order: list[tuple[str, bool]], last: Row) -> Column:

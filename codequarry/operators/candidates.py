@@ -24,22 +24,27 @@ def candidate_id(path: Column, start: Column, end: Column) -> Column:
     return F.when(start.isNull(), F.concat(path, F.lit(":file"))).otherwise(F.concat_ws("", path, F.lit(":"), start, F.lit("-"), end))
 
 
-def ordered_union(reasons: Column, seq: Column) -> Column:
-    """Aggregate: the distinct reasons in the order they were first given."""
-    given = F.array_sort(F.collect_list(F.struct(seq.alias("s"), reasons.alias("r"))))
-    return F.array_distinct(F.flatten(F.transform(given, lambda x: x["r"])))
+def ordered_union(df: DataFrame, id_col: str, reasons: str, seq: str) -> DataFrame:
+    """(id, reasons): the distinct reasons of each id in the order they were first given. Each
+    reason is reduced to its first place before any are gathered, so an id gathers as many
+    entries as it has different reasons, however many rows."""
+    given = df.select(F.col(id_col), F.col(seq).alias("_s"), F.posexplode(reasons).alias("_p", "_r"))
+    first = given.groupBy(id_col, "_r").agg(F.min(F.struct("_s", "_p")).alias("_at"))
+    gathered = F.array_sort(F.collect_list(F.struct("_at", "_r")))
+    return first.groupBy(id_col).agg(F.transform(gathered, lambda x: x["_r"]).alias(reasons))
 
 
 def merge_candidates(df: DataFrame, id_col: str = "id", seq: str = "seq") -> DataFrame:
     """One row per id: highest score, anchor if any is, reasons in order, the rest as first given."""
     rest = [c for c in df.columns if c not in (id_col, "score", "reasons", "anchor", seq)]
-    return df.groupBy(id_col).agg(
+    one = df.groupBy(id_col).agg(
         F.max("score").alias("score"),
         F.bool_or("anchor").alias("anchor"),
-        ordered_union(F.col("reasons"), F.col(seq)).alias("reasons"),
         F.min(seq).alias(seq),
         F.min_by(F.struct(*rest), F.col(seq)).alias("_rest"),
-    ).select(id_col, "score", "anchor", "reasons", seq, "_rest.*")
+    )
+    said = F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons")
+    return one.join(ordered_union(df, id_col, "reasons", seq), id_col, "left").select(id_col, "score", "anchor", said, seq, "_rest.*")
 
 
 def with_penalty(df: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .ranking import first_per_group
+from .scratch import kept
 
 EXTERNAL = "__external__"
 
@@ -45,6 +45,7 @@ def _moved(edges: DataFrame, places: DataFrame) -> DataFrame:
 
 def collapse_external(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All external nodes as one; edges between them go; the one node only if it has edges."""
+    nodes, edges = kept(nodes), kept(edges)
     places = nodes.where("external").select("id", F.lit(EXTERNAL).alias("new_id"))
     moved = merge_edges(_moved(edges, places).where(F.col("from_id") != F.col("to_id")))
     touched = moved.where((F.col("from_id") == EXTERNAL) | (F.col("to_id") == EXTERNAL)).limit(1)
@@ -97,18 +98,15 @@ def truncate(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int)
     """The first nodes - anchors always, then internal before external, by confidence and id -
     and, of the edges between them, the first by confidence, type and ends. Both are
     distributed top-k; the counts say what was cut."""
-    anchors, n = nodes.where("anchor").count(), nodes.count()
+    nodes, edges = kept(nodes), kept(edges)
+    counted = nodes.agg(F.count_if("anchor").alias("anchors"), F.count(F.lit(1)).alias("n")).first()
+    anchors, n = counted["anchors"], counted["n"]
     room = max(0, max_nodes - anchors)
     others = nodes.where("NOT anchor").orderBy(F.col("external").asc(), F.col("confidence").desc(), F.col("id").asc()).limit(room)
     held = nodes.where("anchor").unionByName(others) if n > max_nodes else nodes
     ids = held.select(F.col("id").alias("_id"))
-    inner = edges.join(ids, edges["from_id"] == ids["_id"], "left_semi").join(ids, edges["to_id"] == ids["_id"], "left_semi")
+    inner = kept(edges.join(ids, edges["from_id"] == ids["_id"], "left_semi").join(ids, edges["to_id"] == ids["_id"], "left_semi"))
     m = inner.count()
     cut = inner.orderBy(F.col("confidence").desc(), "type", "from_id", "to_id").limit(max_edges) if m > max_edges else inner
     left_out = {"truncated_nodes": max(0, n - max(max_nodes, anchors)), "truncated_edges": max(0, m - max_edges)}
     return held, cut, {"truncated": any(left_out.values())} | left_out
-
-
-def with_seq(df: DataFrame, *order: str) -> DataFrame:
-    """Numbers rows of a bounded table in the order of the columns."""
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import top_per_group
+
 
 def deepest_owner(paths: DataFrame, path: str, roots: DataFrame, root: str) -> DataFrame:
     """Each path with the longest root that holds it (none: dropped).
@@ -50,5 +52,37 @@ def is_current(before: DataFrame, after: DataFrame, key: str, compared: list[str
     )
 
 
-def joined(values: Column, separator: str = ",") -> Column:
-    return F.array_join(F.array_sort(values), separator)
+def unmatched(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """What was asked for and has no match."""
+    return asked.join(found.select(*keys), keys, "left_anti")
+
+
+def matched(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """What was asked for and has a match, each row once."""
+    return asked.join(found.select(*keys), keys, "left_semi")
+
+
+def ambiguous(found: DataFrame, key: str, place: str, shown: int = 20) -> DataFrame:
+    """(key, matches, at): keys with several different places, how many, and the first ``shown``
+    of them in order. Only those are gathered; a key may have any number."""
+    places = found.select(key, place).distinct()
+    several = places.groupBy(key).agg(F.count(F.lit(1)).alias("matches")).where("matches > 1")
+    first = top_per_group(places, [key], [F.col(place)], shown, "_rank").groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(place).alias("p")))), lambda x: x["p"]).alias("at")
+    )
+    return several.join(first, key)
+
+
+def inverted_index(places: DataFrame, place: str, names: Column) -> DataFrame:
+    """(name, files, first): in how many places each name stands, and in which first. One row
+    per place with an array of its names; a name is counted once a place, before it moves."""
+    said = places.select(place, F.explode(F.array_distinct(names)).alias("name"))
+    return said.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.min(place).alias("first"))
+
+
+def merge_kinds(found: DataFrame, root: str = "root", kind: str = "kind", name: str = "name") -> DataFrame:
+    """One row per root: its kind, ``mixed`` where several were found there, and the name that the Node detector gave."""
+    return found.groupBy(root).agg(
+        F.when(F.min(kind) != F.max(kind), "mixed").otherwise(F.min(kind)).alias(kind),
+        F.min_by(name, F.when(F.col(kind) == "node", 0).otherwise(1)).alias(name),
+    )

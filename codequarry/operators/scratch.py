@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, in reliable storage (``spark.checkpoint.dir``; a folder of the
-    driver's own only where the session names none)."""
+    driver's own only where the session names none and all runs on one machine)."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codequarry-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codequarry-"))
     return df.checkpoint(eager=True)

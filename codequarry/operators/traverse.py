@@ -14,9 +14,14 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, distance, edge_type) of all nodes within ``depth`` steps of each root.
 
     edges: src, dst, edge_type; roots: root. The type is that of the edge that discovers the
-    node first when parents are visited in order. Every level is kept in the shared folder:
-    otherwise each would compute all levels before it again.
+    node first when parents are visited in order. The edges and every level are kept in the
+    shared folder: otherwise each level would compute all that is before it again.
     """
+    edges = kept(edges.select("src", "dst", "edge_type"))
+    return _reach(edges, roots, depth)
+
+
+def _reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     level = kept(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("edge_type"),
                               F.array(F.col("root")).alias("_way")))
     levels = [level]
@@ -24,7 +29,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         visited = reduce(DataFrame.unionByName, [x.select("root", "node") for x in levels])
         step = (
             level.select("root", F.col("node").alias("src"), "_way")
-            .join(edges.select("src", "dst", "edge_type"), "src")
+            .join(edges, "src")
             .select("root", F.col("dst").alias("node"), "edge_type", "_way")
             .join(visited, ["root", "node"], "left_anti")
             # The first way in: the parents' order decides, which their own ways carry.
@@ -45,7 +50,8 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def reach_graph(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, distance) within ``depth`` of any root, and the edges out of every node
     nearer than ``depth``, back edges included."""
-    found = reach(edges, roots, depth)
+    edges = kept(edges)
+    found = _reach(edges.select("src", "dst", "edge_type"), roots, depth)
     nodes = kept(found.groupBy("node").agg(F.min("distance").alias("distance")))
     expanded = nodes.where(F.col("distance") < depth).select(F.col("node").alias("src"))
     inner = edges.join(expanded, "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")

@@ -7,10 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codequarry.functions import paths
-from codequarry.operators import expand, graphs, traverse
+from codequarry.operators import expand, graphs, ranking, traverse
 from codequarry.operators.scratch import kept
 from codequarry.sources import workspaces
 from codequarry.sources.config import UsageError
@@ -34,8 +33,7 @@ def _file_id(lang: Column, path: Column) -> Column:
 
 
 def _numbered(df: DataFrame, columns: tuple[str, ...], order: list[str]) -> DataFrame:
-    # A graph around anchors is bounded by its limits; the order of arrival is one window.
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long")).select(*columns)
+    return ranking.global_rank(df, [F.col(c) for c in order], "seq").select(*columns)
 
 
 def import_graph(resolved: Resolved, depth: int, include_tests: str) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +125,7 @@ def graph(spark: SparkSession, request: Request, cwd: str) -> Graph:
         nodes = nodes.where("NOT external")
         edges = edges.join(inner, edges["to_id"] == inner["id"], "left_semi")
     nodes, edges = graphs.collapse(nodes, edges, request.collapse)
-    nodes, edges, cut = graphs.truncate(kept(nodes), kept(edges), request.max_nodes, request.max_edges)
+    nodes, edges, cut = graphs.truncate(nodes, edges, request.max_nodes, request.max_edges)
     order = lambda *cs: [F.collate(c, "UNICODE") for c in cs]
     owners = [w for p in resolved.anchor_paths if (w := workspaces.owner(resolved.every, os.path.join(resolved.root, p)))]
     meta = {

@@ -7,10 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codequarry.functions import paths, text
-from codequarry.operators import budget, candidates, expand
+from codequarry.operators import budget, candidates, expand, ranking
 from codequarry.operators.scratch import kept
 from codequarry.sources import folder, ignore, workspaces
 
@@ -47,15 +46,14 @@ def candidates_of(spark: SparkSession, resolved: Resolved, depth: int, include_t
     """Merged candidates with penalties and header snippets."""
     raw = resolved.anchors.select(*COMMON).unionByName(_expanded(resolved, depth, include_tests, spark))
     files = resolved.index.files.select("path", "lang", "ws_root", "size")
-    # Candidates of one request are few: their order of arrival is numbered in one place.
-    order = Window.orderBy("ord", "path", "start_line", "reason", F.desc("score"))
-    made = raw.join(files, "path", "left").select(
+    order = [F.col("ord"), F.col("path"), F.col("start_line"), F.col("reason"), F.col("score").desc()]
+    made = ranking.global_rank(raw.join(files, "path", "left"), order, "seq").select(
         candidates.candidate_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"),
         F.when(F.col("start_line").isNull(), "file").otherwise("snippet").alias("kind"),
         F.coalesce("lang", paths.language(F.col("path"))).alias("lang"), F.coalesce("ws_root", F.lit("")).alias("ws_root"), "path",
         "start_line", "end_line", "score", F.array("reason").alias("reasons"),
         estimated(F.col("size"), F.col("start_line"), F.col("end_line")).alias("estimated_chars"), "anchor",
-        F.row_number().over(order).cast("long").alias("seq"),
+        "seq",
     )
     merged = kept(candidates.merge_candidates(candidates.with_penalty(made)))
     headers = candidates.header_snippets(merged, budget_chars).withColumn("seq", F.col("seq") + 1_000_000)

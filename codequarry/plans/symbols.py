@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.extract.index import Index
-from codequarry.operators import ranking
+from codequarry.operators import matching, ranking
 
 REFERENCES = 10
 CONTEXT_LINES = 3
@@ -39,14 +39,13 @@ def definitions(spark: SparkSession, index: Index, queries: list[str]) -> DataFr
 
 def unresolved(spark: SparkSession, queries: list[str], found: DataFrame) -> list[str]:
     asked = spark.createDataFrame([(q,) for q in queries], "query string")
-    return sorted(r["query"] for r in asked.join(found, "query", "left_anti").collect())
+    return sorted(r["query"] for r in matching.unmatched(asked, found, ["query"]).collect())
 
 
 def ambiguous(found: DataFrame) -> dict[str, list[str]]:
-    """Queries with more than one definition, and where those are."""
-    place = F.concat_ws(":", "path", "start_line")
-    rows = found.where("role = 'definition'").groupBy("query").agg(F.array_sort(F.collect_set(place)).alias("at")).where("size(at) > 1")
-    return {r["query"]: list(r["at"]) for r in rows.collect()}
+    """Queries with more than one definition, and where the first of those are."""
+    places = found.where("role = 'definition'").select("query", F.concat_ws(":", "path", "start_line").alias("place"))
+    return {r["query"]: list(r["at"]) for r in matching.ambiguous(places, "query", "place").collect()}
 
 
 def references(index: Index, found: DataFrame, anchor_paths: list[str]) -> DataFrame:

@@ -108,7 +108,7 @@ def size_penalty_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each part of an order to the next one: a graph with cycles and many parallels."""
-    lines = _t(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_partkey")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     pairs = lines.alias("a").join(lines.alias("b"), "l_orderkey").where(F.col("a.l_partkey") < F.col("b.l_partkey"))
     kind = F.when(F.col("l_orderkey") % 8 == 0, "imports").otherwise("imports-dynamic")
     return (
@@ -118,32 +118,58 @@ def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PART_EDGES = """
-l AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 4 = 0),
+l AS (SELECT l_orderkey, l_partkey FROM lineitem),
 e AS (
   SELECT a.l_partkey AS src, b.l_partkey AS dst,
     min(CASE WHEN a.l_orderkey % 8 = 0 THEN 'imports' ELSE 'imports-dynamic' END) AS edge_type
   FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"""
 
 
+#: Where traversals begin: the smallest parts of one brand.
+_ANCHORS = "p_brand = 'Brand#4' AND p_size <= 3"
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").where(_ANCHORS).select(F.col("p_partkey").alias("root"))
+
+
 @query(f"""
 WITH RECURSIVE {_PART_EDGES},
-b AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS d FROM part WHERE p_partkey IN (1, 2, 3)
-  UNION SELECT b.root, e.dst, b.d + 1 FROM b JOIN e ON e.src = b.node WHERE b.d < 3)
-SELECT root, node, CAST(min(d) AS INTEGER) AS distance FROM b GROUP BY 1, 2""")
+b AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS d FROM part WHERE {_ANCHORS}
+  UNION SELECT b.root, e.dst, b.d + 1 FROM b JOIN e ON e.src = b.node WHERE b.d < 3),
+n AS (SELECT root, node, min(d) AS d FROM b GROUP BY 1, 2),
+-- The way in of a node is the least one: parents in the order of their own ways, then the edge's type.
+w0 AS (SELECT root, node, [node] AS way, NULL AS edge_type FROM n WHERE d = 0),
+w1 AS (SELECT n.root, n.node, min({{'w': w.way, 't': e.edge_type}}) AS f FROM n JOIN w0 w ON w.root = n.root JOIN e ON e.src = w.node AND e.dst = n.node WHERE n.d = 1 GROUP BY 1, 2),
+v1 AS (SELECT root, node, list_append(f.w, node) AS way, f.t AS edge_type FROM w1),
+w2 AS (SELECT n.root, n.node, min({{'w': w.way, 't': e.edge_type}}) AS f FROM n JOIN v1 w ON w.root = n.root JOIN e ON e.src = w.node AND e.dst = n.node WHERE n.d = 2 GROUP BY 1, 2),
+v2 AS (SELECT root, node, list_append(f.w, node) AS way, f.t AS edge_type FROM w2),
+w3 AS (SELECT n.root, n.node, min({{'w': w.way, 't': e.edge_type}}) AS f FROM n JOIN v2 w ON w.root = n.root JOIN e ON e.src = w.node AND e.dst = n.node WHERE n.d = 3 GROUP BY 1, 2),
+v AS (SELECT root, node, edge_type FROM w0 UNION ALL SELECT root, node, edge_type FROM v1 UNION ALL SELECT root, node, edge_type FROM v2
+  UNION ALL SELECT root, node, f.t FROM w3)
+SELECT root, node, CAST(n.d AS INTEGER) AS distance, edge_type FROM n JOIN v USING (root, node)""")
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = _t(spark, sf_dir, "part").where("p_partkey IN (1, 2, 3)").select(F.col("p_partkey").alias("root"))
-    return traverse.reach(_part_edges(spark, sf_dir), roots, 3).select("root", "node", "distance")
+    """From every anchor: what lies within three steps, and the type of the edge that finds it."""
+    return traverse.reach(_part_edges(spark, sf_dir), _anchors(spark, sf_dir), 3).select("root", "node", "distance", "edge_type")
 
 
 @query(f"""
 WITH RECURSIVE {_PART_EDGES},
-b AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE p_partkey IN (1, 2, 3)
+b AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE {_ANCHORS}
   UNION SELECT e.dst, b.d + 1 FROM b JOIN e ON e.src = b.node WHERE b.d < 2),
 n AS (SELECT node, min(d) AS d FROM b GROUP BY 1)
 SELECT src, dst, edge_type FROM e JOIN n ON n.node = e.src AND n.d < 2 WHERE dst IN (SELECT node FROM n)""")
 def bfs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = _t(spark, sf_dir, "part").where("p_partkey IN (1, 2, 3)").select(F.col("p_partkey").alias("root"))
-    return traverse.reach_graph(_part_edges(spark, sf_dir), roots, 2)[1].select("src", "dst", "edge_type")
+    return traverse.reach_graph(_part_edges(spark, sf_dir), _anchors(spark, sf_dir), 2)[1].select("src", "dst", "edge_type")
+
+
+@query(f"""
+WITH RECURSIVE {_PART_EDGES},
+b AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE {_ANCHORS}
+  UNION SELECT e.dst, b.d + 1 FROM b JOIN e ON e.src = b.node WHERE b.d < 2)
+SELECT node, CAST(min(d) AS INTEGER) AS distance FROM b GROUP BY 1""")
+def bfs_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.reach_graph(_part_edges(spark, sf_dir), _anchors(spark, sf_dir), 2)[0].select("node", "distance")
 
 
 def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +216,34 @@ def collapse_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.collapse(nodes, edges, "external")[1].select("from_id", "to_id", "type")
 
 
+@query(f"""
+WITH {_PART_GRAPH}
+SELECT id, 'method' AS kind, anchor, CAST(confidence AS DOUBLE) AS confidence, false AS external FROM nodes WHERE NOT external
+UNION ALL SELECT '__external__', 'external', false, 1.0, true WHERE EXISTS (SELECT 1 FROM edges WHERE xa <> xb)""")
+def collapse_external_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node stands for all external ones, if an edge leads there."""
+    nodes, edges = _part_graph(spark, sf_dir)
+    return graphs.collapse(nodes, edges, "external")[0].select("id", "kind", "anchor", "confidence", "external")
+
+
+@query(f"""
+WITH {_PART_GRAPH},
+f AS (SELECT CASE WHEN xa THEN from_id ELSE pa END AS from_id, CASE WHEN xb THEN to_id ELSE pb END AS to_id, type FROM edges)
+SELECT DISTINCT from_id, to_id, type FROM f WHERE from_id <> to_id""")
+def collapse_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _part_graph(spark, sf_dir)
+    return graphs.collapse(nodes, edges, "file")[1].select("from_id", "to_id", "type")
+
+
+@query(f"""
+WITH {_PART_GRAPH}
+SELECT class_id AS id, 'class' AS kind, bool_or(anchor) AS anchor, CAST(max(confidence) AS DOUBLE) AS confidence,
+  arg_min(external, seq) AS external, min(seq) AS seq FROM nodes GROUP BY 1""")
+def collapse_class_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _part_graph(spark, sf_dir)
+    return graphs.collapse(nodes, edges, "class")[0].select("id", "kind", "anchor", "confidence", "external", "seq")
+
+
 @query(f"""
 WITH {_PART_GRAPH},
 f AS (SELECT CASE WHEN external THEN id ELSE path END AS id, anchor, confidence, external FROM nodes)
@@ -218,6 +272,28 @@ def truncate_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.truncate(nodes, edges, 300, 200)[1].select("from_id", "to_id", "type")
 
 
+@query(f"""
+WITH {_PART_GRAPH},
+ranked AS (SELECT id, row_number() OVER (ORDER BY external, confidence DESC, id) AS rn FROM nodes WHERE NOT anchor)
+SELECT id FROM nodes WHERE anchor UNION ALL SELECT id FROM ranked WHERE rn <= 300 - (SELECT count(*) FROM nodes WHERE anchor)""")
+def truncate_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _part_graph(spark, sf_dir)
+    return graphs.truncate(nodes, edges, 300, 200)[0].select("id")
+
+
+@query(f"""
+WITH {_PART_GRAPH},
+ranked AS (SELECT id, row_number() OVER (ORDER BY external, confidence DESC, id) AS rn FROM nodes WHERE NOT anchor),
+kept AS (SELECT id FROM nodes WHERE anchor UNION ALL SELECT id FROM ranked WHERE rn <= 300 - (SELECT count(*) FROM nodes WHERE anchor)),
+c AS (SELECT (SELECT count(*) FROM nodes) - (SELECT count(*) FROM kept) AS n,
+  greatest(0, (SELECT count(*) FROM edges WHERE from_id IN (SELECT id FROM kept) AND to_id IN (SELECT id FROM kept)) - 200) AS m)
+SELECT n > 0 OR m > 0 AS truncated, CAST(n AS BIGINT) AS truncated_nodes, CAST(m AS BIGINT) AS truncated_edges FROM c""")
+def truncate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _part_graph(spark, sf_dir)
+    cut = graphs.truncate(nodes, edges, 300, 200)[2]
+    return spark.createDataFrame([cut], "truncated boolean, truncated_nodes long, truncated_edges long")
+
+
 @query("""
 SELECT l_partkey AS from_id, l_suppkey AS to_id, l_returnflag AS type, arg_min(l_orderkey * 10 + l_linenumber, k) AS site
 FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem)
@@ -258,7 +334,7 @@ def prefix_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT DISTINCT r_name || '.' || n_name AS module, n_nationkey AS v FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION SELECT r_name, 100 + r_regionkey FROM region),
 q AS (SELECT r_name || '.' || n_name || '.C' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 > 0
+  JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT r_name || '.UNKNOWN.X' FROM region)
 SELECT name, arg_max(module, length(module)) AS module, CAST(arg_max(v, length(module)) AS INTEGER) AS value
 FROM q JOIN m ON name = module OR starts_with(name, module || '.') GROUP BY 1""")
@@ -268,7 +344,7 @@ def longest_prefix_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = full.select(F.concat_ws(".", "r_name", "n_name").alias("module"), F.col("n_nationkey").alias("value")).union(
         region.select("r_name", F.col("r_regionkey") + 100)
     )
-    customer = _t(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    customer = _t(spark, sf_dir, "customer")
     names = customer.join(full, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.concat_ws("", "r_name", F.lit("."), "n_name", F.lit(".C"), "c_custkey").alias("name")
     )
@@ -279,24 +355,24 @@ def longest_prefix_module(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def unresolved_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
+    return matching.unmatched(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def resolved_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_semi")
+    return matching.matched(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
 @query("""
-SELECT c_nationkey AS query, CAST(count(*) AS BIGINT) AS matches, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS found
-FROM customer GROUP BY 1 HAVING count(*) > 1""")
+WITH r AS (SELECT c_nationkey AS query, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer)
+SELECT query, CAST(count(*) AS BIGINT) AS matches, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FILTER (rn <= 20) AS found
+FROM r GROUP BY 1 HAVING count(*) > 1""")
 def ambiguous_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string"))
-    return (
-        _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("query"))
-        .agg(F.count(F.lit(1)).alias("matches"), F.array_join(found, ",").alias("found")).where("matches > 1")
-    )
+    """How many places a name has, and the first twenty: what a message shows, however many there are."""
+    asked = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query"), "c_custkey")
+    found = F.array_join(F.transform("at", lambda x: x.cast("string")), ",")
+    return matching.ambiguous(asked, "query", "c_custkey").select("query", "matches", found.alias("found"))
 
 
 @query("""
@@ -347,11 +423,8 @@ SELECT name, count(*) AS files, min(doc_id) AS first_file FROM (
   SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents) GROUP BY 1""")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier to files; each file's identifiers are made distinct before they move."""
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)")))
-    return (
-        _t(spark, sf_dir, "documents").select("doc_id", F.explode(names).alias("name"))
-        .groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.min("doc_id").alias("first_file"))
-    )
+    names = F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"))
+    return matching.inverted_index(_t(spark, sf_dir, "documents"), "doc_id", names).withColumnRenamed("first", "first_file")
 
 
 _LOG_LINE = """CASE event_id % 8
@@ -382,13 +455,13 @@ def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_log(lines)
 
 
-_DIFF_LINE = """CASE WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 10 = 9 THEN '+++ /dev/null' ELSE '+++ b/src/f' || conv_id || '_' || turn || '.ts' END
+_DIFF_LINE = """CASE WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 10 = 9 THEN '+++ /dev/null' WHEN conv_id % 10 = 8 THEN '+++ src/g' || conv_id || '.py' ELSE '+++ b/src/f' || conv_id || '_' || turn || '.ts' END
   WHEN turn % 3 = 1 THEN '@@ -1,2 +' || (length(text) % 50 + 1) || ',' || (turn + conv_id % 2) || ' @@' ELSE '@@ -3 +' || (turn + 1) || ' @@ x' END"""
 
 
 @query(f"""
 WITH l AS (SELECT conv_id, turn AS line_no, {_DIFF_LINE} AS line FROM conversations),
-c AS (SELECT *, last_value(CASE WHEN starts_with(line, '+++ /dev/null') THEN '' WHEN starts_with(line, '+++ b/') THEN substr(line, 7) END IGNORE NULLS)
+c AS (SELECT *, last_value(CASE WHEN line = '+++ /dev/null' THEN '' WHEN starts_with(line, '+++ b/') THEN substr(line, 7) WHEN starts_with(line, '+++ ') THEN substr(line, 5) END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS path FROM l),
 h AS (SELECT conv_id, path, line_no, CAST(regexp_extract(line, '\\+([0-9]+)', 1) AS INTEGER) AS s, regexp_extract(line, '\\+[0-9]+,([0-9]+)', 1) AS n
   FROM c WHERE line LIKE '@@%' AND path <> '')
@@ -449,20 +522,20 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT root, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixed' ELSE min(kind) END AS kind, arg_min(name, CASE kind WHEN 'node' THEN 0 ELSE 1 END) AS name
 FROM (SELECT s_nationkey AS root, 'node' AS kind, min(s_name) AS name FROM supplier GROUP BY 1
-  UNION ALL SELECT c_nationkey, 'python', min(c_name) FROM customer WHERE c_acctbal > 9900 GROUP BY 1) GROUP BY root""")
+  UNION ALL SELECT CASE WHEN c_acctbal < 0 THEN 100 + c_nationkey WHEN c_acctbal > 9000 THEN c_nationkey ELSE 200 + c_nationkey END, 'python', min(c_name)
+    FROM customer GROUP BY 1) GROUP BY root""")
 def workspace_kind_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots that two detectors find: suppliers stand for one of them, customers for the other."""
     node = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("root")).agg(F.min("s_name").alias("name")).withColumn("kind", F.lit("node"))
-    python = _t(spark, sf_dir, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("root")).agg(F.min("c_name").alias("name"))
-    both = node.unionByName(python.withColumn("kind", F.lit("python")))
-    return both.groupBy("root").agg(
-        F.when(F.count_distinct("kind") > 1, "mixed").otherwise(F.min("kind")).alias("kind"),
-        F.min_by("name", F.when(F.col("kind") == "node", 0).otherwise(1)).alias("name"),
-    )
+    n, balance = F.col("c_nationkey"), F.col("c_acctbal")
+    root = F.when(balance < 0, n + 100).when(balance > 9000, n).otherwise(n + 200).cast("int")
+    python = _t(spark, sf_dir, "customer").groupBy(root.alias("root")).agg(F.min("c_name").alias("name")).withColumn("kind", F.lit("python"))
+    return matching.merge_kinds(node.unionByName(python)).select("root", "kind", "name")
 
 
 @query("SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
 def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.short_hash(F.col("text")).alias("sha1"), text.content_hash(F.col("text")).alias("sha256"))
 
 
 @query("""

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from codequarry import __version__
 from codequarry.extract.index import parse_files
+from codequarry.functions.text import content_hash
 from codequarry.operators.matching import changes
 from codequarry.sources.config import Config
 
@@ -36,7 +37,7 @@ def refresh(files: DataFrame, folder: str) -> DataFrame:
     then named by a pointer, so a failure leaves the old one in force.
     """
     spark = files.sparkSession
-    hashed = files.withColumn("hash", F.sha2("content", 256))
+    hashed = files.withColumn("hash", content_hash(F.col("content")))
     pointer = _load(spark, f"{folder}/pointer")
     last = pointer.agg(F.max("generation")).first()[0] if pointer is not None else 0
     base = f"{folder}/generation={last}"
@@ -61,7 +62,7 @@ def status(files: DataFrame, folder: str) -> DataFrame:
     """(path, status) of the files against the store: what a refresh would parse."""
     spark = files.sparkSession
     pointer = _load(spark, f"{folder}/pointer")
-    hashed = files.select("path", F.sha2("content", 256).alias("hash"))
+    hashed = files.select("path", content_hash(F.col("content")).alias("hash"))
     if pointer is None:
         return hashed.select("path", F.lit("added").alias("status"))
     last = pointer.agg(F.max("generation")).first()[0]
