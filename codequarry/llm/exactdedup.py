@@ -58,8 +58,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFram
 def _marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` (_id, _digest and others) with _keep, _n and _first: whether it is the row that stays."""
     total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    # Kept in the shared folder, so that a row has one number.
-    joined = checkpointed(join_counted(rows, groups, ["_digest"], "_n", total).withColumn("_at", F.monotonically_increasing_id()))
+    # Light rows, kept: a row has one number, and texts are hashed once, not for each part of the join.
+    rows = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()))
+    joined = checkpointed(join_counted(rows, groups, ["_digest"], "_n", total))
     tied = joined.where(F.col("_id").eqNullSafe(F.col("_keep"))).select("_digest", "_at")
     first = tied.groupBy("_digest").agg(F.min("_at").alias("_at"))
     return joined.join(first.select("_at", F.lit(True).alias("_first")), "_at", "left")
