@@ -35,6 +35,7 @@ _ANCHORS = {
     "workspace": Flag("value", "workspace", "workspace by name or path"), "all-workspaces": Flag("switch", "all_workspaces", "every workspace"),
     "depth": Flag("int", "depth", "import distance"), "include-tests": Flag("value", "include_tests", "auto, true or false"),
     "format": Flag("value", "", "output format"), "out": Flag("value", "", "write to a file"),
+    "index": Flag("value", "index", "keep parsed files in this folder and parse only what changed"),
     "no-timestamp": Flag("switch", "", "leave the time out"), "debug": Flag("switch", "", "more messages"),
 }
 FLAGS: dict[str, dict[str, Flag]] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,23 +15,22 @@ from codequarry.operators.graphs import merge_edge_types
 from codequarry.operators.ranking import first_per_group
 from codequarry.operators.scratch import kept
 
-from . import python_ast, ts_tokens
-from .records import RECORD, Found
-
-#: Parsers by language; another language is one more entry (and its extensions in the scan).
-ADAPTERS: dict[str, Callable[[str], list[Found]]] = {"py": python_ast.parse, "ts": ts_tokens.parse}
+from . import adapters
+from .records import RECORD
 
 _COLUMNS = [c.split(" ")[0] for c in RECORD.split(", ")]
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Records of all files (ws_root, path, lang, content), each file parsed once."""
+    """Records of all files (ws_root, path, lang, content), each file parsed once; files of
+    languages that no adapter knows have none."""
+    parse_of = adapters.parsers()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for ws_root, path, lang, content in batch[["ws_root", "path", "lang", "content"]].itertuples(index=False):
-                for seq, f in enumerate(ADAPTERS[lang](content or "")):
+                for seq, f in enumerate(parse_of[lang](content or "") if lang in parse_of else ()):
                     rows.append(
                         (ws_root, path, lang, seq, f.rec, f.name, f.kind, f.start_line, f.end_line, f.owner, f.owner_start,
                          f.owner_end, f.receiver, f.level, f.is_dynamic, f.status)
@@ -113,7 +112,8 @@ def _normal(path: Column) -> Column:
 
 def ts_imports(records: DataFrame, files: DataFrame) -> DataFrame:
     """Import edges of relative specifiers: each becomes a few candidate paths in order of
-    preference, and the first that exists wins."""
+    preference, and the first that exists wins. Targets outside the importing file's workspace
+    are no edges."""
     said = records.where("rec = 'import' AND lang = 'ts' AND name RLIKE '^[./]'").select(
         "ws_root", F.col("path").alias("src"), "name", "is_dynamic"
     )
@@ -129,13 +129,20 @@ def ts_imports(records: DataFrame, files: DataFrame) -> DataFrame:
     there = tried.join(files.select("dst" if "dst" in files.columns else F.col("path").alias("dst")).distinct(), "dst")
     best = there.groupBy("ws_root", "src", "name", "is_dynamic").agg(F.min_by("dst", "_rank").alias("dst"))
     kind = F.when(F.col("is_dynamic"), "imports-dynamic").otherwise("imports")
-    return best.select("ws_root", "src", "dst", kind.alias("edge_type"), F.lit("ts").alias("lang")).where("src <> dst")
+    edges = best.select("ws_root", "src", "dst", kind.alias("edge_type"), F.lit("ts").alias("lang"))
+    return edges.where((F.col("src") != F.col("dst")) & paths.inside(F.col("dst"), F.col("ws_root")))
 
 
-def build_index(files: DataFrame, import_roots: list[str] | None = None) -> Index:
-    """Parse the files and resolve their imports; everything is kept, as plans read it often."""
+def build_index(files: DataFrame, import_roots: list[str] | None = None, store: str | None = None) -> Index:
+    """Parse the files and resolve their imports; everything is kept, as plans read it often.
+    With a store only what changed since its last use is parsed."""
     files = kept(files)
-    records = kept(parse_files(files))
+    if store:
+        from codequarry.streaming import index_store
+
+        records = index_store.refresh(files, store)
+    else:
+        records = kept(parse_files(files))
     modules = kept(python_modules(files, import_roots or ["src", "."]))
     edges = python_imports(records, modules).unionByName(ts_imports(records, files))
     return Index(files, records, modules, kept(merge_edge_types(edges, F.col("lang"))))

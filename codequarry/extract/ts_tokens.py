@@ -1,7 +1,9 @@
 """TypeScript and JavaScript files by a tokenizer: imports, definitions, calls, names.
 
-There is no compiler here: names are found by their tokens and braces, callees are named as
-they are written, and types are not resolved.
+There is no compiler here: names are found by their tokens and braces. Of types only what is
+written is known: the annotation of a variable, parameter or class field, or the class that it
+is a new instance of. A method called on such a name is a call of that type's method; other
+callees are named as they are written.
 """
 
 from __future__ import annotations
@@ -52,9 +54,29 @@ def _template_end(text: str, at: int) -> int:
     return i
 
 
-def tokens(text: str) -> list[Token]:
+def _inserted(text: str, at: int, end: int) -> list[tuple[int, int]]:
+    """Where the expressions of a template begin and end; nested templates are part of theirs."""
+    out, i = [], at + 1
+    while i < end - 1:
+        if text[i] == "\\":
+            i += 2
+        elif text.startswith("${", i):
+            start, depth, i = i + 2, 1, i + 2
+            while i < end - 1 and depth:
+                if text[i] == "`":
+                    i = _template_end(text, i)
+                    continue
+                depth += (text[i] == "{") - (text[i] == "}")
+                i += 1
+            out.append((start, i - 1 if not depth else i))
+        else:
+            i += 1
+    return out
+
+
+def tokens(text: str, line: int = 1) -> list[Token]:
     out: list[Token] = []
-    i, line, n = 0, 1, len(text)
+    i, n = 0, len(text)
     while i < n:
         c = text[i]
         if c == "\n":
@@ -79,6 +101,10 @@ def tokens(text: str) -> list[Token]:
         elif c == "`":
             end = _template_end(text, i)
             out.append(Token("template", text[i + 1 : end - 1], line))
+            # What is inserted is code, in brackets of its own.
+            for a, b in _inserted(text, i, end):
+                at = line + text.count("\n", i, a)
+                out += [Token("op", "[", at), *tokens(text[a:b], at), Token("op", "]", line + text.count("\n", i, b))]
             line += text.count("\n", i, end)
             i = end
         elif c == "/" and _regex_may_start(out):
@@ -203,7 +229,10 @@ class _File:
                 self.found.append(Found("import", self.at(i + 1).text, start_line=t.line))
             elif t.text in ("import", "export") and depth == 0:
                 j = i + 1
-                while j < len(self.toks) and not self.is_op(j, ";") and j - i < 4000:
+                # The next statement of the kind ends this one, where no semicolon does.
+                while j < len(self.toks) and not self.is_op(j, ";"):
+                    if self.at(j).kind == "name" and self.at(j).text in ("import", "export"):
+                        break
                     if self.is_op(j, "{"):
                         j = self.close.get(j, j)
                     elif self.at(j).kind == "name" and self.at(j).text == "from" and self.at(j + 1).kind == "string":
@@ -289,8 +318,70 @@ class _File:
             j += 1
         return out
 
+    def _type_at(self, j: int) -> str | None:
+        """The type that is written from j on, if it is one name."""
+        t = self.at(j)
+        ends = self.at(j + 1).kind != "op" or self.at(j + 1).text in (",", ")", "=", ";", "{", "}") or self.at(j + 1).line > t.line
+        return t.text if t.kind == "name" and t.text[:1].isupper() and ends else None
+
+    def _instance_at(self, j: int) -> str | None:
+        """The class of which a new instance begins at j."""
+        t = self.at(j + 1)
+        return t.text if self.at(j).kind == "name" and self.at(j).text == "new" and t.kind == "name" and not self.is_op(j + 2, ".") else None
+
+    def types(self, scopes: list[tuple[int, int, str, str | None]]) -> tuple[list[tuple[int, int, str, str]], dict[tuple[str, str], str]]:
+        """Types of variables and parameters as (first token, last token, name, type) of where
+        they hold, and types of class fields by (class, field)."""
+        names: list[tuple[int, int, str, str]] = []
+        fields: dict[tuple[str, str], str] = {}
+        whole = (-1, len(self.toks), "", None)
+
+        def home(i: int) -> tuple:
+            return max((s for s in scopes if s[0] < i < s[1]), key=lambda s: s[0], default=whole)
+
+        for i, t in enumerate(self.toks):
+            if t.kind == "name" and t.text in ("const", "let", "var") and self.at(i + 1).kind == "name":
+                kind = self._type_at(i + 3) if self.is_op(i + 2, ":") else self._instance_at(i + 3) if self.is_op(i + 2, "=") else None
+                if kind:
+                    names.append((*home(i)[:2], self.at(i + 1).text, kind))
+            elif t.kind == "name" and t.text == "class" and self.at(i + 1).kind == "name":
+                self._fields(i + 1, fields)
+        for first, last, symbol, owner in scopes:
+            j = first
+            while j < last and not self.is_op(j, "(") and not self.is_op(j, "{"):
+                j += 1
+            if not self.is_op(j, "("):
+                continue
+            for k in range(j + 1, self.close.get(j, j)):
+                at = k + 2 if self.is_op(k + 1, "?") else k + 1
+                if self.at(k).kind == "name" and self.is_op(at, ":") and (kind := self._type_at(at + 1)):
+                    names.append((first, last, self.at(k).text, kind))
+                    # A parameter with a modifier is a field too.
+                    if owner and symbol.endswith(".constructor") and self.at(k - 1).text in ("private", "public", "protected", "readonly"):
+                        fields[owner, self.at(k).text] = kind
+        return names, fields
+
+    def _fields(self, at: int, fields: dict[tuple[str, str], str]) -> None:
+        name, end, j = self.at(at).text, self.body_end(at), at
+        while j < end and not self.is_op(j, "{"):
+            j += 1
+        j += 1
+        while j < end:
+            if self.at(j).kind == "name":
+                k = j + 2 if self.is_op(j + 1, "?") or self.is_op(j + 1, "!") else j + 1
+                kind = self._type_at(k + 1) if self.is_op(k, ":") else self._instance_at(k + 1) if self.is_op(k, "=") else None
+                if kind:
+                    fields[name, self.at(j).text] = kind
+            j = self.close.get(j, j) + 1
+
     def calls(self, scopes: list[tuple[int, int, str, str | None]]) -> None:
         starts = {s[0] for s in scopes}
+        names, fields = self.types(scopes)
+
+        def type_of(name: str, i: int) -> str | None:
+            holding = [x for x in names if x[2] == name and x[0] < i < x[1]]
+            return max(holding, key=lambda x: x[0])[3] if holding else None
+
         for i, t in enumerate(self.toks):
             if not self.is_op(i, "("):
                 continue
@@ -323,7 +414,12 @@ class _File:
             if chain:
                 root = self.at(j).text if self.at(j).kind == "name" else "[expr]"
                 made["start_line"] = self.at(j).line
-                self.found.append(Found("call", callee.text, "property", receiver=".".join([root, *chain[:0:-1]]), **made))
+                receiver = ".".join([root, *chain[:0:-1]])
+                if len(chain) == 1 and root not in ("this", "[expr]"):
+                    receiver = type_of(root, i) or receiver
+                elif len(chain) == 2 and root == "this" and owner[3]:
+                    receiver = fields.get((owner[3], chain[1])) or receiver
+                self.found.append(Found("call", callee.text, "property", receiver=receiver, **made))
             else:
                 self.found.append(Found("call", callee.text, "identifier", **made))
 

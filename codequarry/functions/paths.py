@@ -40,6 +40,14 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]+$", "")
 
 
+def source_path(path: Column) -> Column:
+    """From the first part named src; without one the last two parts."""
+    parts = F.split(path, "/")
+    at = F.array_position(parts, F.lit("src")).cast("int")
+    last = F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2)
+    return F.array_join(F.when(at > 0, F.slice(parts, F.greatest(at, F.lit(1)), F.size(parts))).otherwise(last), "/")
+
+
 def inside(path: Column, root: Column) -> Column:
     """Whether the path is the root or below it; an empty root holds every relative path."""
     return (root == "") | (path == root) | path.startswith(F.concat(root, F.lit("/")))

@@ -15,7 +15,7 @@ from codequarry.sources import workspaces
 from codequarry.sources.config import UsageError
 
 from .request import Request, Resolved, resolve
-from .symbols import call_edges
+from .symbols import call_edges, calls_of
 
 NODE = ("id", "kind", "lang", "name", "path", "start_line", "end_line", "ws_root", "anchor", "external", "confidence", "seq")
 EDGE = ("from_id", "to_id", "type", "site_path", "site_start", "site_end", "confidence", "seq")
@@ -65,7 +65,7 @@ def import_graph(resolved: Resolved, depth: int, include_tests: str) -> tuple[Da
 def call_graph(resolved: Resolved) -> tuple[DataFrame, DataFrame]:
     """Calls in anchor files; depth has no meaning here."""
     files = resolved.index.files.select("path", "lang", "ws_root")
-    calls = call_edges(resolved.index).where(F.col("path").isin(resolved.anchor_paths))
+    calls = calls_of(call_edges(resolved.index), resolved.anchor_paths)
     home = _file_id(F.col("lang"), F.col("path"))
     caller = F.when(F.col("caller").isNull(), home).otherwise(F.concat_ws("#", home, "caller"))
     known = F.col("callee_path").isNotNull()
@@ -117,7 +117,11 @@ def build(resolved: Resolved, graph_type: str, depth: int, include_tests: str) -
 
 
 def graph(spark: SparkSession, request: Request, cwd: str) -> Graph:
-    resolved = resolve(spark, request, cwd)
+    return graph_of(request, resolve(spark, request, cwd, projects=True))
+
+
+def graph_of(request: Request, resolved: Resolved) -> Graph:
+    """The graph of a request whose anchors and files are known."""
     depth = resolved.config.depth if request.depth is None else request.depth
     nodes, edges = build(resolved, request.graph_type, depth, request.include_tests or resolved.config.include_tests)
     if not request.include_external and request.collapse == "none":
@@ -129,7 +133,7 @@ def graph(spark: SparkSession, request: Request, cwd: str) -> Graph:
     order = lambda *cs: [F.collate(c, "UNICODE") for c in cs]
     owners = [w for p in resolved.anchor_paths if (w := workspaces.owner(resolved.every, os.path.join(resolved.root, p)))]
     meta = {
-        "repoRoot": os.path.relpath(resolved.root, cwd), "scope": {
+        "repoRoot": os.path.relpath(resolved.root, resolved.cwd), "scope": {
             "mode": resolved.mode, "workspaces": sorted({w.root: w.ws_id for w in [*resolved.scope, *owners]}.values()),
         },
         "graphType": request.graph_type, "depth": depth, "maxNodes": request.max_nodes, "maxEdges": request.max_edges,

@@ -61,7 +61,11 @@ def candidates_of(spark: SparkSession, resolved: Resolved, depth: int, include_t
 
 
 def pack(spark: SparkSession, request: Request, cwd: str) -> Bundle:
-    resolved = resolve(spark, request, cwd)
+    return bundle(spark, request, resolve(spark, request, cwd))
+
+
+def bundle(spark: SparkSession, request: Request, resolved: Resolved) -> Bundle:
+    """The bundle of a request whose anchors and files are known."""
     config = resolved.config
     chars = config.budget_chars if request.budget_chars is None else request.budget_chars
     depth = config.depth if request.depth is None else request.depth

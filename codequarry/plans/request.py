@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from codequarry.operators.scratch import kept
 from codequarry.shipping import ship
 from codequarry.sources import diff, ignore, repo, workspaces
 from codequarry.sources.config import AmbiguousSymbol, AnchorNotFound, Config, UsageError, load_config
+from codequarry.sources.tsconfig import load_project
+from codequarry.streaming.index_store import store_key
 
 from . import symbols
 
@@ -47,6 +51,7 @@ class Request:
     max_nodes: int = 500
     max_edges: int = 2000
     collapse: str = "external"
+    index: str | None = None  # a folder for parsed files, brought up to date by what changed
 
 
 @dataclass
@@ -70,7 +75,33 @@ def _relative(path: str, cwd: str, root: str) -> str:
     return os.path.relpath(os.path.join(cwd, path), root)
 
 
-def resolve(spark: SparkSession, request: Request, cwd: str) -> Resolved:
+def _within_projects(index: Index, roots: list[str], top: str) -> Index:
+    """The index without import edges out of TypeScript files that belong to no project: where a
+    workspace has a project file, only the sources it takes and what these import have edges."""
+    projects = {os.path.relpath(r, top).removeprefix("."): p for r in roots if (p := load_project(r))}
+    if not projects:
+        return index
+    inside = F.lit(True)
+    for root, project in projects.items():
+        rel = F.col("path") if not root else F.substr("path", F.lit(len(root) + 2))
+        named = rel.isin(*project.files) if project.files else F.lit(False)
+        taken = rel.rlike(rf"({'|'.join(e.replace('.', chr(92) + '.') for e in project.extensions)})$")
+        taken = taken & (rel.rlike(project.include) if project.include else F.lit(False))
+        taken = taken & ~rel.rlike(project.exclude) if project.exclude else taken
+        inside = F.when((F.col("ws_root") == root) & (F.col("lang") == "ts"), named | taken).otherwise(inside)
+    held = kept(index.files.select("path", inside.alias("held")))
+    if held.where("NOT held").isEmpty():
+        return index
+    edges = index.imports.select("src", "dst")
+    program = level = kept(held.where("held").select(F.col("path").alias("src")))
+    while not level.isEmpty():
+        level = kept(level.join(edges, "src").select(F.col("dst").alias("src")).distinct().join(program, "src", "left_anti"))
+        program = kept(program.unionByName(level))
+    return replace(index, imports=kept(index.imports.join(program, "src", "left_semi").select(*index.imports.columns)))
+
+
+def resolve(spark: SparkSession, request: Request, cwd: str, projects: bool = False) -> Resolved:
+    """``projects``: whether TypeScript project files say which sources have imports."""
     ship(spark)
     root = workspaces.repo_root(cwd)
     every = workspaces.detect(root)
@@ -116,7 +147,12 @@ def resolve(spark: SparkSession, request: Request, cwd: str) -> Resolved:
                 home = F.when(paths.inside(F.col("path"), F.lit(r)), r).otherwise(home)
         placed = files.withColumn("ws_root", home)
         placed = placed.withColumn("rel_path", F.when(F.col("ws_root") == "", F.col("path")).otherwise(F.expr("substr(path, length(ws_root) + 2)")))
-        return build_index(placed.dropDuplicates(["path"]), config.import_roots)
+        store = None
+        if request.index:
+            told = json.dumps([sorted(rel), rules, config.import_roots])
+            store = os.path.join(request.index, hashlib.sha1(f"{store_key(root, config)}|{told}".encode()).hexdigest())
+        index = build_index(placed.dropDuplicates(["path"]), config.import_roots, store)
+        return _within_projects(index, [w.root for w in chosen], root) if projects else index
 
     index = index_of(wider)
     if request.symbols:

@@ -64,6 +64,14 @@ def references(index: Index, found: DataFrame, anchor_paths: list[str]) -> DataF
     )
 
 
+def calls_of(calls: DataFrame, files: list[str] | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """Calls in the files, and by the calling symbols, that are named; None names all."""
+    for column, names in (("path", files), ("caller", symbols)):
+        if names is not None:
+            calls = calls.where(F.col(column).isin(names))
+    return calls
+
+
 def call_edges(index: Index) -> DataFrame:
     """Calls with callee resolved where names allow: (path, lang, caller, callee_path, callee,
     shape, confidence, is_dynamic, start_line, end_line). A name is looked up in its own file

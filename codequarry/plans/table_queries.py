@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import parsing, paths, text
-from codequarry.operators import budget, candidates, graphs, matching, ranking, traverse
+from codequarry.operators import benchstats, budget, candidates, graphs, matching, ranking, traverse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -542,11 +542,16 @@ def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type AS category, count(*) AS n, round(avg(value), 6) AS avg_value, round(median(value), 6) AS median_value, round(min(value), 6) AS min_value,
   round(max(value), 6) AS max_value, round(stddev_pop(value), 6) AS stddev_value FROM events GROUP BY 1""")
 def bench_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    stats = {"avg_value": F.avg(v), "median_value": F.median(v), "min_value": F.min(v), "max_value": F.max(v), "stddev_value": F.stddev_pop(v)}
-    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), *(F.round(s, 6).alias(n) for n, s in stats.items())
-    )
+    runs = _t(spark, sf_dir, "events").select(F.col("event_type").alias("category"), "value")
+    return benchstats.timing_stats(runs, ["category"], "value")
+
+
+@query("""
+SELECT p_type AS category, count(*) AS results, round(sum(p_retailprice), 6) AS total, arg_max(p_partkey, p_retailprice * 100000000 + p_partkey) AS slowest
+FROM part GROUP BY 1""")
+def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by category, each with its slowest; parts stand for results."""
+    return benchstats.by_category(_t(spark, sf_dir, "part").withColumnRenamed("p_type", "category"), "category", "p_partkey", "p_retailprice")
 
 
 @query("""
@@ -556,11 +561,8 @@ SELECT category, name, round((now - base) / base * 100, 6) AS delta_pct, (now -
 def bench_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results against a baseline by name and category; even and odd orders stand for the two."""
     lines = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("name"), "l_quantity", "l_orderkey")
-    total = lambda odd, name: lines.where(F.col("l_orderkey") % 2 == odd).groupBy("category", "name").agg(F.sum("l_quantity").alias(name))
-    delta = (F.col("now") - F.col("base")) / F.col("base") * 100
-    return total(0, "now").join(total(1, "base"), ["category", "name"]).select(
-        "category", "name", F.round(delta, 6).alias("delta_pct"), (delta > 1).alias("regression")
-    )
+    total = lambda odd: lines.where(F.col("l_orderkey") % 2 == odd).groupBy("category", "name").agg(F.sum("l_quantity").alias("v"))
+    return benchstats.regressions(total(0), total(1), ["category", "name"], "v", 1)
 
 
 @query("""

@@ -11,7 +11,7 @@ ALWAYS = ["node_modules/"]
 IGNORE_FILES = (".gitignore", ".codequarryignore")
 
 
-def _glob(pattern: str) -> str:
+def glob_pattern(pattern: str) -> str:
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
@@ -61,7 +61,7 @@ class Rule:
         body = body.lstrip("/")
         if not body:
             return None
-        return Rule(("" if anchored else "(?:.*/)?") + _glob(body), negated, directories)
+        return Rule(("" if anchored else "(?:.*/)?") + glob_pattern(body), negated, directories)
 
 
 class IgnoreMatcher:

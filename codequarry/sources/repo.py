@@ -7,6 +7,7 @@ repositories are read by many tasks; the folder must be one that all of them see
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,13 +15,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from codequarry.extract import adapters
 from codequarry.schema import FILES
 
 from .ignore import IgnoreMatcher
 
-#: Source files by extension.
-LANGUAGES = {".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".py": "py"}
-
 
 class Subtree(InputPartition):
     def __init__(self, root: str, below: str, deep: bool) -> None:
@@ -52,6 +51,8 @@ class RepoReader(DataSourceReader):
         self.root = options["path"]
         self.repo = options.get("repo", self.root)
         self.rules = options.get("ignore", "").split("\n")
+        self.languages = json.loads(options["languages"])
+        self.stat_only = options.get("stat_only", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
         tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir() and not e.is_symlink() and not e.name.startswith("."))
@@ -63,13 +64,13 @@ class RepoReader(DataSourceReader):
         if partition.below and matcher.ignores(("" if prefix == "." else prefix + "/") + partition.below + "/"):
             return
         for rel in walk(partition.root, partition.below, partition.deep, matcher, self.repo):
-            lang = LANGUAGES.get(os.path.splitext(rel)[1])
+            lang = self.languages.get(os.path.splitext(rel)[1])
             if not lang:
                 continue
             path = os.path.join(self.root, rel)
             try:
                 stat = os.stat(path)
-                content = Path(path).read_text("utf-8", "replace")
+                content = None if self.stat_only else Path(path).read_text("utf-8", "replace")
             except OSError:
                 continue
             at = os.path.relpath(path, self.repo)
@@ -78,7 +79,9 @@ class RepoReader(DataSourceReader):
 
 class RepoDataSource(DataSource):
     """``spark.read.format("codequarry_repo").load(root)``; options: repo (the repository's
-    root, to which paths are relative), ignore (rules, one a line)."""
+    root, to which paths are relative), ignore (rules, one a line), languages (by extension,
+    as JSON), stat_only (sizes and times alone, files aren't opened). Files that can't be read
+    are left out."""
 
     @classmethod
     def name(cls) -> str:
@@ -91,7 +94,9 @@ class RepoDataSource(DataSource):
         return RepoReader(self.options)
 
 
-def read_repo(spark: SparkSession, root: str, repo: str | None = None, ignore: list[str] | None = None) -> DataFrame:
+def read_repo(spark: SparkSession, root: str, repo: str | None = None, ignore: list[str] | None = None, stat_only: bool = False) -> DataFrame:
     spark.dataSource.register(RepoDataSource)
-    reader = spark.read.format("codequarry_repo").option("repo", repo or root).option("ignore", "\n".join(ignore or []))
-    return reader.load(root)
+    options = {
+        "repo": repo or root, "ignore": "\n".join(ignore or []), "languages": json.dumps(adapters.languages()), "stat_only": str(stat_only).lower(),
+    }
+    return spark.read.format("codequarry_repo").options(**options).load(root)

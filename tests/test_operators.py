@@ -4,8 +4,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codequarry.functions import parsing, paths, text
+from codequarry.functions import tables as table_functions
 from codequarry.operators import budget, candidates, graphs, matching, ranking, traverse
 from codequarry.schema import CANDIDATES
+from codequarry.sources import edge_json
 from codequarry.sources.ignore import IgnoreMatcher
 
 
@@ -182,3 +184,57 @@ def test_owner_and_prefix(spark):
 )
 def test_ignore(rules, path, ignored):
     assert IgnoreMatcher(rules).ignores(path) is ignored
+
+
+def test_budget_and_rows_of_no_cost(spark):
+    """Rows that cost nothing are all kept, wherever they rank, and never gathered."""
+    rows = [(k, 100 - k, 0 if k % 3 == 0 else 10) for k in range(30)] + [(99, 1, None), (98, 500, 1000)]
+    df = spark.createDataFrame(rows, "id int, score int, cost int")
+    got = budget.select_within_budget(df, [("score", True), ("id", False)], ["cost"], [45], "id").orderBy("pick").collect()
+    free = [k for k in range(30) if k % 3 == 0]
+    assert sorted(r["id"] for r in got) == sorted([*free, 1, 2, 4, 5]) and {r["used_cost"] for r in got} == {40}
+    assert [r["pick"] for r in got] == list(range(1, len(got) + 1)) and [r["id"] for r in got] == sorted(r["id"] for r in got)
+
+
+def test_reasons_of_very_common_ids(spark):
+    rows = [("a", k, 5, False, ["x", f"r{k % 3}"]) for k in range(300)] + [("a", -1, 1, True, []), ("b", 7, 2, False, [])]
+    df = spark.createDataFrame(rows, "id string, seq int, score int, anchor boolean, reasons array<string>").withColumn("rest", F.col("seq"))
+    got = {r["id"]: r for r in candidates.merge_candidates(df).collect()}
+    assert list(got["a"]["reasons"]) == ["x", "r0", "r1", "r2"] and list(got["b"]["reasons"]) == []
+    assert (got["a"]["score"], got["a"]["anchor"], got["a"]["seq"], got["a"]["rest"]) == (5, True, -1, -1)
+
+
+def test_ambiguous_names(spark):
+    found = spark.createDataFrame([("n", f"p{k:03}") for k in range(50)] * 2 + [("one", "p")], "query string, place string")
+    (r,) = matching.ambiguous(found, "query", "place", shown=3).collect()
+    assert (r["query"], r["matches"], list(r["at"])) == ("n", 50, ["p000", "p001", "p002"])
+
+
+def test_diff_without_prefix(spark):
+    lines = ["+++ b/src/a.ts", "@@ -1 +4 @@", "+++ src/b.py", "@@ -1,2 +7,3 @@ def x", "+++ /dev/null", "@@ -1,2 +0,0 @@", "+++ src/c d.ts\r", "@@ -3,0 +9,0 @@"]
+    got = parsing.parse_diff(spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")).orderBy("line_no").collect()
+    assert [(r["path"], r["start_line"], r["end_line"]) for r in got] == [("src/a.ts", 4, 4), ("src/b.py", 7, 9), ("src/c d.ts", 9, 9)]
+
+
+def test_table_functions(spark):
+    table_functions.register(spark)
+    log = "src/app.ts:10:5 - error\nnothing\nsrc/app.ts:10:9 - error\nsrc/m.py:1: error: x"
+    got = spark.createDataFrame([(log,)], "t string").createOrReplaceTempView("said")
+    got = spark.sql("SELECT p.* FROM said, LATERAL parse_log(t) p ORDER BY line_no").collect()
+    assert [tuple(r) for r in got] == [("src/app.ts", 10, 7, 13, 1), ("src/m.py", 1, 1, 4, 4)]
+    got = spark.sql("SELECT * FROM parse_diff('+++ b/x.py\n@@ -1 +2,3 @@\n+++ /dev/null\n@@ -1 +1 @@')").collect()
+    assert [tuple(r) for r in got] == [("x.py", 2, 4, 2)]
+    assert spark.sql("SELECT * FROM parse_log('')").collect() == []
+
+
+def test_patterns_are_tested_by_the_engine_that_runs_them(spark):
+    """Valid in Python alone: literal. Valid in Java alone: an expression."""
+    df = spark.createDataFrame([("a(?P<x>b) ab xx",)], "t string")
+    assert df.select(text.redacted(F.col("t"), ["(?P<x>b)"]).alias("t")).first()["t"] == "a[REDACTED] ab xx"
+    assert df.select(text.redacted(F.col("t"), [r"\p{Lower}{2} "]).alias("t")).first()["t"] == "a(?P<x>b) [REDACTED]xx"
+
+
+def test_edges_as_json(spark):
+    df = spark.createDataFrame([('{"a":["b","c"],"d":{"e":"imports-dynamic","a":"imports"},"f":[]}',), ("no json",), (None,)], "t string")
+    got = {tuple(r) for r in edge_json.read_edges(df, F.col("t")).collect()}
+    assert got == {("a", "b", "imports"), ("a", "c", "imports"), ("d", "e", "imports-dynamic"), ("d", "a", "imports")}

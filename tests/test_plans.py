@@ -199,7 +199,7 @@ def test_stream_of_log_lines(spark, tmp_path):
 def test_ts_tokens():
     found = ts_tokens.parse('import a from "./x";\nexport * from \'./y\'\nconst r = /a"\\/[/]b/g, s = `t ${f(`n`)} import("z")`;\n// import "./no"\nfunction g() { return import("./d") }\nnew K().m(1)\nx?.y.z(2)\n')
     assert [(f.name, f.is_dynamic) for f in found if f.rec == "import"] == [("./x", False), ("./y", False), ("./d", True)]
-    assert [(f.receiver, f.name, f.owner) for f in found if f.rec == "call"] == [(None, "K", None), ("[expr]", "m", None), ("x.y", "z", None)]
+    assert [(f.receiver, f.name, f.owner) for f in found if f.rec == "call"] == [(None, "f", None), (None, "K", None), ("[expr]", "m", None), ("x.y", "z", None)]
 
 
 def test_python_ast():
@@ -213,3 +213,106 @@ def test_python_ast():
 
 def test_request_defaults():
     assert Request().max_nodes == 500 and Request().max_edges == 2000
+
+
+def test_commands_with_an_index_parse_what_changed(spark, mono, tmp_path, monkeypatch):
+    """A second run over the same files parses nothing; after a change only the changed file is parsed."""
+    from codequarry.streaming import index_store
+
+    argv, parsed = ["--entry", "packages/web/src/index.ts", "--reason", "--index", str(tmp_path / "index")], []
+    parse = index_store.parse_files
+    monkeypatch.setattr(index_store, "parse_files", lambda files: parsed.append(sorted(r["path"] for r in files.select("path").collect())) or parse(files))
+    first = pack(spark, mono, *argv)
+    assert first["items"] == pack(spark, mono, "--entry", "packages/web/src/index.ts", "--reason")["items"]
+    assert len(parsed) == 1 and len(parsed[0]) > 5
+    again, drawn = pack(spark, mono, *argv), graph(spark, mono, "--entry", "packages/web/src/index.ts", *argv[3:])
+    assert again["items"] == first["items"] and drawn["nodes"] and len(parsed) == 1
+    changed = f"{mono}/packages/web/src/lazy.ts"
+    before = open(changed).read()
+    try:
+        open(changed, "w").write("export const lazy = 1;\nexport const more = 2;\n")
+        assert pack(spark, mono, *argv)["items"] != first["items"]
+    finally:
+        open(changed, "w").write(before)
+    assert parsed[1:] == [["packages/web/src/lazy.ts"]]
+
+
+def test_files_of_the_same_size_and_time_are_not_hashed(spark, tmp_path):
+    from codequarry.streaming import index_store
+
+    columns = "ws_root string, path string, rel_path string, lang string, size bigint, mtime_ms double, content string"
+    files = lambda rows: spark.createDataFrame([("", p, p, "py", len(c), t, c) for p, t, c in rows], columns)
+    store = str(tmp_path / "store")
+    index_store.refresh(files([("a.py", 1.0, "x = 1"), ("b.py", 1.0, "y = 1"), ("c.py", 1.0, "z")]), store)
+    now = files([("a.py", 1.0, "x = 2"), ("b.py", 2.0, "y = 1"), ("c.py", 2.0, "w"), ("d.py", 1.0, "d")])
+    assert {r["path"]: r["status"] for r in index_store.status(now, store).collect()} == {"a.py": "unchanged", "b.py": "unchanged", "c.py": "changed", "d.py": "added"}
+    edges = spark.createDataFrame([("a.py", "b.py", "imports"), ("a.py", 'q"c.py', "imports-dynamic"), ("d.py", "a.py", "imports")], "src string, dst string, edge_type string")
+    index_store.save_edges(edges, store)
+    assert {tuple(r) for r in index_store.load_edges(spark, store).collect()} == {tuple(r) for r in edges.collect()}
+
+
+def test_project_files(spark, tmp_path):
+    """Sources outside a project have no edges, unless the project imports them."""
+    from codequarry.sources.tsconfig import load_project
+
+    files = {
+        ".git/HEAD": "", "package.json": "{}", "base.json": '{"compilerOptions": {"outDir": "out"}, "include": ["nothing"]}',
+        "tsconfig.json": '// a project\n{"extends": "./base", "include": ["src/**/*", "tool.ts",], /* not */ "exclude": ["src/old"]}',
+        "src/a.ts": 'import "../lib/c";\n', "src/old/b.ts": 'import "../a";\n', "lib/c.ts": 'import "./d";\n', "lib/d.ts": "", "tool.ts": 'import "./src/a";\n', "stray.ts": 'import "./src/a";\n',
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    project = load_project(str(tmp_path))
+    held = {p for p in files if p.endswith(".ts") and project.holds(p)}
+    assert held == {"src/a.ts", "tool.ts"} and not project.holds("src/x.js") and load_project(str(tmp_path / "src")) is None
+
+    def reached(entry):
+        return sorted(n["filePath"] for n in graph(spark, str(tmp_path), "--entry", entry, "--depth", "3")["nodes"])
+
+    assert reached("tool.ts") == ["lib/c.ts", "lib/d.ts", "src/a.ts", "tool.ts"]
+    assert reached("stray.ts") == ["stray.ts"] and reached("src/old/b.ts") == ["src/old/b.ts"]
+    assert reached("lib/c.ts") == ["lib/c.ts", "lib/d.ts"]
+    (tmp_path / "tsconfig.json").write_text("{ nonsense")
+    with pytest.raises(UsageError):
+        load_project(str(tmp_path))
+
+
+def test_stat_only_scan_and_other_languages(spark, mono, tmp_path):
+    from codequarry.extract import adapters
+    from codequarry.extract.index import build_index
+    from codequarry.extract.records import Found
+    from codequarry.sources.repo import read_repo
+
+    stats = read_repo(spark, mono, mono, ["node_modules/"], stat_only=True).collect()
+    assert len(stats) > 5 and all(r["content"] is None and r["size"] > 0 and r["mtime_ms"] > 0 for r in stats)
+    (tmp_path / "x.toy").write_text("one two")
+    adapters.register(adapters.Adapter("toy", (".toy",), lambda text: [Found("definition", w, "word", 1, 1) for w in text.split()]))
+    try:
+        index = build_index(read_repo(spark, str(tmp_path), str(tmp_path)))
+        assert sorted(r["name"] for r in index.definitions.collect()) == ["one", "two"]
+    finally:
+        adapters.unregister("toy")
+
+
+def test_types_of_receivers_and_code_in_templates():
+    source = (
+        'import { a,\n b } from "./x"\nexport { c }\nimport d from "./y"\n'
+        "class Svc { private store: Store; cache = new Cache();\n constructor(private readonly log: Logger) {}\n"
+        " run(q?: Query) { this.store.get(1); this.log.info(1); q.exec(); return this.cache.put(`a ${fmt(1)} b ${`n ${inner()}`}`) }\n}\n"
+        "function go(s: Svc, n: number) { const t: Tree<X> = make(); const u = new Util(); s.run(); u.do(); t.walk(); n.toFixed(); x.y.z() }\n"
+        "const o = (b: Box) => b.open();\n"
+    )
+    found = ts_tokens.parse(source)
+    assert [f.name for f in found if f.rec == "import"] == ["./x", "./y"]
+    calls = {(f.receiver, f.name) for f in found if f.rec == "call" and f.kind == "property"}
+    assert calls == {("Store", "get"), ("Logger", "info"), ("Query", "exec"), ("Cache", "put"), ("Svc", "run"), ("Util", "do"), ("t", "walk"), ("n", "toFixed"), ("x.y", "z"), ("Box", "open")}
+    assert {"fmt", "inner", "make"} <= {f.name for f in found if f.rec == "call" and f.kind == "identifier"}
+    assert ts_tokens.parse("import {" + "a, " * 5000 + 'z } from "./far"\n')[0].name == "./far"
+
+
+def test_calls_by_file_and_symbol(spark):
+    from codequarry.plans.symbols import calls_of
+
+    calls = spark.createDataFrame([("a", "f"), ("a", "g"), ("b", "f")], "path string, caller string")
+    assert calls_of(calls).count() == 3 and calls_of(calls, ["a"]).count() == 2 and calls_of(calls, ["a"], ["g"]).count() == 1

@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
-from codequarry.plans import table_queries
+from codequarry.plans import source_queries, table_queries
+
+QUERIES = table_queries.QUERIES | source_queries.QUERIES
+SQL = table_queries.SQL | source_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -22,14 +25,14 @@ def rows(df):
     return list(df.columns), sorted(tuple(map(str, r)) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf_dir, duck, name):
-    got = table_queries.QUERIES[name](spark, sf_dir).toPandas()
-    assert rows(got) == rows(duck.sql(table_queries.SQL[name]).df())
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    assert rows(got) == rows(duck.sql(SQL[name]).df())
 
 
 def test_every_query_has_sql():
-    assert set(table_queries.QUERIES) == set(table_queries.SQL)
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark, sf_dir):
