@@ -7,9 +7,11 @@ scanned once. Matches come back as word numbers, and in ``contaminated_spans`` a
 the original text: normalising changes no byte's place before separators are closed up, so the
 words' places in it are those of the original, counted in code points.
 
-The automaton is built from the collected items. Their size is checked first: items beyond
-``block_bytes`` of window text form further blocks with an automaton each, which every batch
-of documents passes in turn, so no automaton outgrows a worker.
+The automaton is built from the items, which stream through the driver: ``block_bytes`` of
+window text are a block, which is broadcast and let go before the next one is gathered. Each
+block has an automaton of its own; batches of documents, ``BATCH`` characters each, pass them
+in turn. So neither driver nor worker ever holds more than one block, however many items there
+are; most benchmarks are one.
 
 Defined results: null and empty texts have no words; items without words have no windows;
 an item id that repeats counts once; null item ids are left out of the id list; a document
@@ -35,6 +37,9 @@ _TO = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
+#: Characters of text that pass the automata at a time, where there are several.
+BATCH = 16 << 20
+
 MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -48,21 +53,21 @@ def windows_of(words: list[bytes], window: int) -> set[bytes]:
     return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> list[dict[str, tuple]]:
-    """The windows of all items as {window: item ids}, in blocks of bounded size."""
-    blocks: list[dict[str, set]] = [defaultdict(set)]
+def item_blocks(benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> Iterator[dict[str, tuple]]:
+    """The windows of all items as {window: item ids}, block by block; at least one, perhaps empty."""
+    block: dict[str, set] = defaultdict(set)
     size = 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
         own = windows_of(words_of(row[1]), window)
         cost = sum(map(len, own))
         if size and size + cost > block_bytes:
-            blocks.append(defaultdict(set))
-            size = 0
+            yield {w: tuple(ids) for w, ids in block.items()}
+            block, size = defaultdict(set), 0
         for w in own:
             # One character per byte: the automaton takes strings.
-            blocks[-1][f" {w.decode('latin-1')} "].add(row[0])
+            block[f" {w.decode('latin-1')} "].add(row[0])
         size += cost
-    return [{w: tuple(ids) for w, ids in block.items()} for block in blocks]
+    yield {w: tuple(ids) for w, ids in block.items()}
 
 
 def _automaton(block: dict[str, tuple]):
@@ -83,16 +88,18 @@ class _Scanner:
 
     def automaton(self, k: int):
         if self.held[0] != k:
-            self.held = (-1, None)
+            self.held = (-1, None)  # let go first
             self.held = (k, _automaton(self.blocks[k].value))
+            # The automaton has it all; a broadcast value would stay for the worker's life.
+            self.blocks[k].__dict__.pop("_value", None)
         return self.held[1]
 
     def scan(self, texts: list[list[bytes]]) -> list[tuple[set[int], set]]:
         """Per document: the numbers of the words hit, and the items."""
         joined = [f" {b' '.join(w).decode('latin-1')} " if w else "" for w in texts]
         out = [(set(), set()) for _ in texts]
-        for k, block in enumerate(self.blocks):
-            if not block.value:
+        for k in range(len(self.blocks)):
+            if not len(self.automaton(k)):
                 continue
             iterate = self.automaton(k).iter
             for (hit, items), text in zip(out, joined, strict=True):
@@ -118,6 +125,19 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def _batches(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """The texts in runs of ``most`` characters, or of one longer text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
+
+
 def _spans(text: str, hit: set[int]) -> list[dict[str, int]]:
     """Offsets in the original text of each run of hit words."""
     starts, ends = word_places(text)
@@ -154,11 +174,10 @@ def mark_contaminated(
         scanner = _Scanner(blocks)
         # Few texts at a time are held as words; with several automata, as many as make
         # building each again worth it.
-        step = 16 if len(blocks) == 1 else 2048
+        most = BATCH if len(blocks) > 1 else BATCH // 256
         for series in batches:
             rows = []
-            for at in range(0, len(series), step):
-                texts = series.iloc[at : at + step].tolist()
+            for texts in _batches(series.tolist(), most):
                 words = [words_of(t) for t in texts]
                 for text, own, (hit, items) in zip(texts, words, scanner.scan(words), strict=True):
                     ids = sorted(str(i) for i in items if i is not None)

@@ -6,7 +6,8 @@ bounded size; each partition runs best-fit decreasing and computes a lower bound
 count from dual-feasible functions. A partition whose count equals its bound is certified.
 The pieces in partly filled bins of the others - and, of every partition, the piece-poorest
 bin, whose space a partition's own bound can't judge - are exchanged: pooled, dealt into
-fewer partitions and packed again, until no partition has a gap or an exchange gains nothing.
+fewer partitions and packed again, until no partition has a gap, an exchange gains nothing,
+all pieces of a turn fit one partition, or ``max_turns`` (12) turns are done.
 
 Only (id, piece, length) rows move after tokenising, never ids or text. An exchange that
 doesn't lower the count is thrown away, so counts never rise.

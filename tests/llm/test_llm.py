@@ -447,6 +447,19 @@ def test_places_of_words_in_the_original(spark):
     assert decontam._spans("Ünder - a B,c d", {0, 2, 3}) == [{"start": 0, "end": 5}, {"start": 10, "end": 13}]
 
 
+def test_blocks_of_windows_are_held_one_at_a_time(spark, monkeypatch):
+    """Each block goes before the next is gathered, and automata give the same whatever the blocks and batches."""
+    items = spark.createDataFrame([(k, f"item number {k} has these words of its own") for k in range(60)], "item_id long, text string")
+    blocks = decontam.item_blocks(items, 13, 200, "item_id", "text")
+    sizes = [sum(map(len, b)) for b in blocks]
+    assert len(sizes) > 10 and max(sizes) < 400
+    docs = frame(spark, [(k, f"x Item number {k} has THESE words of its own y " * (k % 3)) for k in range(80)])
+    monkeypatch.setattr(decontam, "BATCH", 100)
+    rows = lambda size: sorted(map(str, decontam.mark_contaminated(docs, items, block_bytes=size).select("doc_id", *decontam.MADE).collect()))
+    assert rows(200) == rows(32 << 20)
+    assert list(decontam.item_blocks(items.limit(0), 13, 200, "item_id", "text")) == [{}]
+
+
 def test_decontamination_of_a_text_of_megabytes(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     long = "word " * 400_000 + "SHORT -- one" + " word" * 400_000
