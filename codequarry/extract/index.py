@@ -144,5 +144,11 @@ def build_index(files: DataFrame, import_roots: list[str] | None = None, store:
     else:
         records = kept(parse_files(files))
     modules = kept(python_modules(files, import_roots or ["src", "."]))
+    if store and (known := index_store.stored_edges(files.sparkSession, store)) is not None:
+        homes = files.select("ws_root", F.col("path").alias("src"))
+        return Index(files, records, modules, kept(known.join(homes, "src").select("ws_root", "src", "dst", "edge_type")))
     edges = python_imports(records, modules).unionByName(ts_imports(records, files))
-    return Index(files, records, modules, kept(merge_edge_types(edges, F.col("lang"))))
+    edges = kept(merge_edge_types(edges, F.col("lang")))
+    if store:
+        index_store.save_edges(edges, store)
+    return Index(files, records, modules, edges)

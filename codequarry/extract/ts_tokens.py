@@ -54,6 +54,96 @@ def _template_end(text: str, at: int) -> int:
     return i
 
 
+_TAG = re.compile(r"[A-Za-z_$][\w$.:-]*")
+#: What stands before an element, where a comparison can't.
+_BEFORE_ELEMENT = frozenset(("(", "=", "=>", "?", ":", ",", "{", "[", "&", "|", ";", "}"))
+
+
+def _element_may_start(before: list[Token]) -> bool:
+    if not before:
+        return True
+    last = before[-1]
+    return last.text in _BEFORE_REGEX if last.kind == "name" else last.kind == "op" and last.text in _BEFORE_ELEMENT
+
+
+def _brace_end(text: str, at: int) -> int:
+    """After the brace that closes the one at ``at``, or -1; strings and templates are skipped."""
+    depth, i = 0, at
+    while i < len(text):
+        c = text[i]
+        if c == "`":
+            i = _template_end(text, i)
+            continue
+        if c in "\"'":
+            end = i + 1
+            while end < len(text) and text[end] not in (c, "\n"):
+                end += 2 if text[end] == "\\" else 1
+            # A lone apostrophe in an element's text closes nowhere on its line.
+            i = end + 1 if end < len(text) and text[end] == c else i + 1
+            continue
+        depth += (c == "{") - (c == "}")
+        i += 1
+        if not depth:
+            return i
+    return -1
+
+
+def _element(text: str, at: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """The end of the JSX element at ``at``, and where its code is: names of components and
+    what stands in braces. None if there is no whole element, as with type parameters."""
+    code: list[tuple[int, int]] = []
+    opened: list[str] = []
+    i = at
+    while i < len(text):
+        if text.startswith("</", i):
+            m = _TAG.match(text, i + 2)
+            name = m[0] if m else ""
+            i = text.find(">", i)
+            if i < 0 or not opened or opened.pop() != name:
+                return None
+            i += 1
+        elif text[i] == "<":
+            m = _TAG.match(text, i + 1)
+            name, i = (m[0], m.end()) if m else ("", i + 1)
+            if m and (name[0].isupper() or "." in name):
+                code.append((m.start(), m.end()))
+            # Attributes, up to the tag's end.
+            while i < len(text) and text[i] != ">" and not text.startswith("/>", i):
+                if text[i] == "{":
+                    end = _brace_end(text, i)
+                    if end < 0:
+                        return None
+                    code.append((i + 1, end - 1))
+                    i = end
+                elif text[i] in "\"'":
+                    i = text.find(text[i], i + 1) + 1
+                    if not i:
+                        return None
+                elif text[i].isspace() or text[i] == "=" or _TAG.match(text, i):
+                    m = _TAG.match(text, i)
+                    i = m.end() if m else i + 1
+                else:
+                    return None
+            if i >= len(text):
+                return None
+            if text[i] == ">":
+                opened.append(name)
+                i += 1
+            else:
+                i += 2
+        elif text[i] == "{":
+            end = _brace_end(text, i)
+            if end < 0:
+                return None
+            code.append((i + 1, end - 1))
+            i = end
+        else:
+            i += 1
+        if not opened:
+            return i, code
+    return None
+
+
 def _inserted(text: str, at: int, end: int) -> list[tuple[int, int]]:
     """Where the expressions of a template begin and end; nested templates are part of theirs."""
     out, i = [], at + 1
@@ -107,6 +197,14 @@ def tokens(text: str, line: int = 1) -> list[Token]:
                 out += [Token("op", "[", at), *tokens(text[a:b], at), Token("op", "]", line + text.count("\n", i, b))]
             line += text.count("\n", i, end)
             i = end
+        elif c == "<" and (text[i + 1 : i + 2].isalpha() or text[i + 1 : i + 2] == ">") and _element_may_start(out) and (found := _element(text, i)):
+            # Text between tags is no code; names of components and what stands in braces are.
+            for a, b in found[1]:
+                at = line + text.count("\n", i, a)
+                out += [Token("op", "[", at), *tokens(text[a:b], at), Token("op", "]", line + text.count("\n", i, b))]
+            out.append(Token("template", "", line))
+            line += text.count("\n", i, found[0])
+            i = found[0]
         elif c == "/" and _regex_may_start(out):
             j, in_class = i + 1, False
             while j < n and text[j] != "\n" and (in_class or text[j] != "/"):

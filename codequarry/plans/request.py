@@ -156,7 +156,9 @@ def resolve(spark: SparkSession, request: Request, cwd: str, projects: bool = Fa
 
     index = index_of(wider)
     if request.symbols:
-        found = kept(symbols.definitions(spark, index, request.symbols))
+        # Symbols are looked for in the scope alone; what is found there expands beyond it.
+        roots = [os.path.relpath(w.root, root).removeprefix(".") for w in scope]
+        found = kept(symbols.definitions(spark, index, request.symbols, roots))
         missing = symbols.unresolved(spark, request.symbols, found)
         if missing and request.fallback_all:
             index = index_of(every)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.extract.index import Index
+from codequarry.functions import paths
 from codequarry.operators import matching, ranking
 
 REFERENCES = 10
@@ -13,11 +17,12 @@ CONTEXT_LINES = 3
 LOCATIONS = "query string, path string, start_line int, end_line int, role string, lang string, name string"
 
 
-def definitions(spark: SparkSession, index: Index, queries: list[str]) -> DataFrame:
-    """Locations that symbol queries name. Forms: name; Class.member; module.name and
+def definitions(spark: SparkSession, index: Index, queries: list[str], roots: list[str] | None = None) -> DataFrame:
+    """Locations that symbol queries name, in the workspaces at ``roots`` if these are given. Forms: name; Class.member; module.name and
     module:name (Python); path:name. A member comes with the head of its class as context."""
     asked = spark.createDataFrame([(q,) for q in queries], "query string")
-    d = index.definitions.select("ws_root", "path", "lang", "name", "kind", "start_line", "end_line", "owner", "owner_start", "owner_end")
+    within = F.lit(True) if roots is None else reduce(or_, (paths.inside(F.col("path"), F.lit(r)) for r in roots), F.lit(False))
+    d = index.definitions.where(within).select("ws_root", "path", "lang", "name", "kind", "start_line", "end_line", "owner", "owner_start", "owner_end")
     d = d.join(index.modules.select("ws_root", "path", "module"), ["ws_root", "path"], "left")
     member = F.concat_ws(".", "owner", "name")
     own = F.when(F.col("owner").isNull(), F.col("name")).otherwise(member)

@@ -21,6 +21,19 @@ from codequarry.schema import FILES
 from .ignore import IgnoreMatcher
 
 
+#: Subtrees that a scan aims at.
+PARTS = 64
+
+
+def folders(root: str, below: str) -> list[str]:
+    """The folders in a folder, by relative path; hidden ones and links aren't followed."""
+    try:
+        found = sorted(e.name for e in os.scandir(os.path.join(root, below)) if e.is_dir() and not e.is_symlink() and not e.name.startswith("."))
+    except OSError:
+        return []
+    return [f"{below}/{name}" if below else name for name in found]
+
+
 class Subtree(InputPartition):
     def __init__(self, root: str, below: str, deep: bool) -> None:
         self.root, self.below, self.deep = root, below, deep
@@ -54,14 +67,27 @@ class RepoReader(DataSourceReader):
         self.languages = json.loads(options["languages"])
         self.stat_only = options.get("stat_only", "false") == "true"
 
+    def prefix(self) -> str:
+        """What leads from the repository's root to this one."""
+        found = os.path.relpath(self.root, self.repo)
+        return "" if found == "." else found + "/"
+
     def partitions(self) -> list[InputPartition]:
-        tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir() and not e.is_symlink() and not e.name.startswith("."))
-        return [Subtree(self.root, "", False), *(Subtree(self.root, t, True) for t in tops)]
+        """Subtrees, split level by level until there are enough of them; a split one leaves its own files as a part."""
+        matcher, prefix = IgnoreMatcher(self.rules), self.prefix()
+        inside = lambda d: [x for x in folders(self.root, d) if not matcher.ignores(f"{prefix}{x}/")]
+        parts, level = [Subtree(self.root, "", False)], inside("")
+        while level and len(parts) + len(level) < PARTS:
+            below = {d: inside(d) for d in level}
+            if not any(below.values()):
+                break
+            parts += [Subtree(self.root, d, False) for d in level]
+            level = [x for d in level for x in below[d]]
+        return [*parts, *(Subtree(self.root, d, True) for d in level)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         matcher = IgnoreMatcher(self.rules)
-        prefix = os.path.relpath(self.root, self.repo)
-        if partition.below and matcher.ignores(("" if prefix == "." else prefix + "/") + partition.below + "/"):
+        if partition.below and matcher.ignores(f"{self.prefix()}{partition.below}/"):
             return
         for rel in walk(partition.root, partition.below, partition.deep, matcher, self.repo):
             lang = self.languages.get(os.path.splitext(rel)[1])

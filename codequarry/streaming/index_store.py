@@ -88,6 +88,11 @@ def save_edges(edges: DataFrame, folder: str) -> None:
     write_edges(edges).write.mode("overwrite").parquet(f"{folder}/generation={_last(edges.sparkSession, folder)}/edges")
 
 
+def stored_edges(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The edges of the generation in force, if they were kept."""
+    return load_edges(spark, folder) if _load(spark, f"{folder}/generation={_last(spark, folder)}/edges") is not None else None
+
+
 def load_edges(spark: SparkSession, folder: str) -> DataFrame:
     """The edges that were kept last; those in the older form are read as well."""
     stored = spark.read.parquet(f"{folder}/generation={_last(spark, folder)}/edges")

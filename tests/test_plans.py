@@ -316,3 +316,42 @@ def test_calls_by_file_and_symbol(spark):
 
     calls = spark.createDataFrame([("a", "f"), ("a", "g"), ("b", "f")], "path string, caller string")
     assert calls_of(calls).count() == 3 and calls_of(calls, ["a"]).count() == 2 and calls_of(calls, ["a"], ["g"]).count() == 1
+
+
+def test_elements_are_no_code_but_what_they_hold_is():
+    source = (
+        'const View = (p: Props) => {\n  if (p.a < b(1) && c > d) { return null; }\n  return (\n'
+        '    <Layout title="it\'s (not) a call" items={list(p)} {...rest(p)}>\n      Don\'t (call) this; import "x"\n'
+        "      <ul className='k'>{p.rows.map((r) => <Row key={id(r)} on={() => hit(`a ${fmt(r)}`)} />)}</ul>\n"
+        "      <>{cond ? <b>yes (no)</b> : other()}</>\n    </Layout>\n  );\n};\n"
+        "const f = <T,>(x: T) => keep(x);\nconst g = <T>(x: T) => kept(x);\n"
+    )
+    found = ts_tokens.parse(source)
+    assert [f.name for f in found if f.rec == "call"] == ["b", "list", "rest", "map", "id", "hit", "fmt", "other", "keep", "kept"]
+    assert {f.owner for f in found if f.rec == "call" and f.start_line < 10} == {"View"}
+    assert not [f for f in found if f.rec == "import"] and {"Layout", "Row"} <= {f.name for f in found if f.rec == "identifier"}
+    assert [(f.name, f.end_line) for f in found if f.rec == "definition"] == [("View", 10), ("f", 11), ("g", 12)]
+
+
+def test_a_scan_is_split_below_its_top_folders(tmp_path):
+    from codequarry.sources import repo
+
+    for k in range(9):
+        for j in range(5):
+            (tmp_path / f"only/a{k}/b{j}").mkdir(parents=True)
+            (tmp_path / f"only/a{k}/b{j}/x.py").write_text("x = 1")
+    (tmp_path / "only/top.py").write_text("y = 1")
+    (tmp_path / "only/skip/deep").mkdir(parents=True)
+    (tmp_path / "only/skip/deep/z.py").write_text("z = 1")
+    reader = repo.RepoReader({"path": str(tmp_path), "ignore": "skip/", "languages": '{".py": "py"}'})
+    parts = reader.partitions()
+    paths = [row[1] for p in parts for row in reader.read(p)]
+    assert len(parts) > 40 and len(paths) == len(set(paths)) == 46 and not any("skip" in p for p in paths)
+
+
+def test_symbols_are_looked_for_in_the_scope(spark, mono):
+    """A workspace that an anchor brings in expands, but its symbols aren't searched."""
+    argv = ["pack", "--no-timestamp", "--workspace", "billing", "--entry", "packages/web/src/index.ts"]
+    with pytest.raises(AnchorNotFound):
+        cli.run([*argv, "--symbol", "hello"], mono, spark)
+    assert json.loads(cli.run([*argv, "--symbol", "hello", "--fallback-all"], mono, spark)[0])["items"]
