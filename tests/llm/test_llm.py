@@ -844,6 +844,61 @@ def test_automaton_finds_what_is_within_one_edit(word):
         assert lexicon.find(word) is not None
 
 
+def brute_features(text, entries, ordinary, rigid):
+    """The features by definition: every word against every entry, every match against every other."""
+    lowered = text.lower()
+    found = [(m[0], m.start()) for m in re.finditer(r"[^\W_]+", lowered)]
+
+    def hit(word):
+        for k, (entry, kind, _) in enumerate(entries):
+            if kind == 0 and entry == word:
+                return k, True
+        begun = [(len(e), k) for k, (e, kind, _) in enumerate(entries) if kind and word.startswith(e)]
+        if begun:
+            return min(begun)[1], True
+        if len(word) < 3 or word in ordinary:
+            return None
+        if not word.isalpha() and not word.isdigit():
+            plain = "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}.get(c, c) for c in word)
+            if plain != word and hit(plain):
+                return hit(plain)[0], False
+            word = plain
+        near = []
+        for k, (entry, kind, strength) in enumerate(entries):
+            if len(entry) >= 4 and kind < 2 and k not in rigid:
+                row = levenshtein(word, entry)[-1] if not kind else min(levenshtein(word[:n], entry)[-1] for n in range(len(word) + 1))
+                if row <= 1:
+                    near.append((strength, k))
+        return (max(near)[1], False) if near else None
+
+    hits = {w: hit(w) for w, _ in found}
+    uses = collections.Counter(h[0] for h in hits.values() if h)
+    matches = [(n, at, *hits[w]) for n, (w, at) in enumerate(found) if hits[w] and (entries[hits[w][0]][1] < 2 or uses[hits[w][0]] > 1)]
+    if not matches:
+        return (0.0,) * 5
+    quoted = lambda at: any(a < at <= b for a, b in toxicity.quotations(lowered))
+    scores = []
+    for n, at, k, exact in matches:
+        near = sum(abs(n - other[0]) <= 12 for other in matches) - 1
+        scores.append(entries[k][2] * (1 if exact else 0.6) * (1 + 0.25 * near) * (0.25 if quoted(at) else 1))
+    share = lambda holds: sum(holds) / len(matches)
+    return (
+        np.log1p(sum(scores)), max(scores), np.log1p(100 * sum(scores) / len(found)),
+        share([not m[3] for m in matches]), share([quoted(m[1]) for m in matches]),
+    )
+
+
+def test_features_against_plain_comparison():
+    rng = random.Random(8)
+    entries = [("idiot", 0, 1.0), ("scum", 0, 0.9), ("moro", 1, 0.8), ("worthless", 0, 0.7), ("trash", 0, 0.6), ("pest", 2, 0.5), ("ab1", 0, 0.4)]
+    ordinary, rigid = frozenset({"crash", "scam"}), frozenset({3})
+    lexicon = toxicity.Lexicon(entries, ordinary, rigid)
+    words = "idiot id1ot idoit idit scum scvm sum scam moron morons mooron worthless worthles trash trasH crash pestle pests pest ab1 4b1 the a of quiet house 'so' 77 5cum".split()
+    for _ in range(400):
+        text = " ".join(rng.choice([*words, *["plain"] * 9, "“", "”", '"', "«", "»", "\n"]) for _ in range(rng.randint(0, 70)))
+        assert toxicity.features(text, lexicon)[0] == pytest.approx(brute_features(text, entries, ordinary, rigid)), text
+
+
 def test_misspellings_of_short_entries():
     lexicon = toxicity.Lexicon([("scum", 0, 1.0), ("vile", 1, 1.0)], ordinary=frozenset({"sum"}))
     assert all(lexicon.find(w) == (0, False) for w in ("scvm", "scumm", "scm", "5cum", "xscum"))
