@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, in reliable storage (``spark.checkpoint.dir``; a folder of the
-    driver's own only where the session names none and all runs on one machine)."""
+    driver's own only where the session names none and all runs on one machine). What has been
+    kept already, and nothing done to since, is returned as it is."""
+    if df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD":
+        return df
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

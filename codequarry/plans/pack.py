@@ -106,24 +106,30 @@ def bundle(spark: SparkSession, request: Request, resolved: Resolved) -> Bundle:
 
 
 def _with_folders(spark: SparkSession, request: Request, resolved: Resolved, items: DataFrame, omitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Folder entries after the selection, outside the budget."""
-    matcher = ignore.load_matcher(resolved.root)
-    rows, skipped, pick = [], [], 1 << 20
-    for name in request.folders:
-        scanned = folder.scan_folder(
-            os.path.join(resolved.cwd, name), matcher, resolved.root, int(request.folder_max_mb * (1 << 20)), request.folder_hidden, request.folder_links
-        )
-        for path, kind, size, content, mime, _ in scanned.entries:
-            reason, shown = {
-                "text": ("folder inclusion", content),
-                "binary": ("folder inclusion (binary metadata only)", f"[Binary file: {mime}, {size} bytes]"),
-                "directory": ("folder inclusion (empty directory)", "[Empty directory]"),
-            }[kind]
-            pick += 1
-            rel = os.path.relpath(path, resolved.root)
-            lang = "py" if kind == "text" and rel.lower().endswith(".py") else "ts"
-            rows.append((pick, "file", lang, "", rel, None, None, [reason] if request.reason else [], shown))
-        for path, _, size, most, _ in scanned.skipped:
-            rel = os.path.relpath(path, resolved.root)
-            skipped.append((f"folder:{rel}", rel, "file", None, None, f"file exceeds max size ({size} bytes > {most} bytes)", 0, size))
-    return items.unionByName(spark.createDataFrame(rows, items.schema)), omitted.unionByName(spark.createDataFrame(skipped, omitted.schema))
+    """Folder entries after the selection, by path, outside the budget."""
+    rules = ignore.load_rules(resolved.root)
+    for n, name in enumerate(request.folders, 1):
+        top = os.path.join(resolved.cwd, name)
+        found = kept(folder.read_folder(spark, top, resolved.root, rules, int(request.folder_max_mb * (1 << 20)), request.folder_hidden, request.folder_links))
+        rel = F.substr("path", F.lit(len(resolved.root.rstrip("/")) + 2)) if top.startswith(resolved.root) else F.col("path")
+        kind = F.col("kind")
+        reason = F.when(kind == "binary", "folder inclusion (binary metadata only)").when(kind == "directory", "folder inclusion (empty directory)").otherwise("folder inclusion")
+        shown = (
+            F.when(kind == "binary", F.concat_ws("", F.lit("[Binary file: "), "mime_type", F.lit(", "), "size", F.lit(" bytes]")))
+            .when(kind == "directory", "[Empty directory]").otherwise(F.col("content"))
+        )
+        none = F.lit(None).cast("int")
+        ranked = ranking.global_rank(found.where("kind <> 'too-large'"), [F.col("path")], "_place")
+        taken = ranked.select(
+            (F.col("_place") + (n << 24)).cast("int").alias("pick"), F.lit("file").alias("kind"),
+            F.when((kind == "text") & F.lower("path").endswith(".py"), "py").otherwise("ts").alias("lang"), F.lit("").alias("ws_root"),
+            rel.alias("path"), none.alias("start_line"), none.alias("end_line"),
+            (F.array(reason) if request.reason else F.array().cast("array<string>")).alias("reasons"), shown.alias("content"),
+        )
+        too_large = found.where("kind = 'too-large'").select(
+            F.concat(F.lit("folder:"), rel).alias("id"), rel.alias("path"), F.lit("file").alias("kind"), none.alias("start_line"), none.alias("end_line"),
+            F.concat_ws("", F.lit("file exceeds max size ("), "size", F.lit(f" bytes > {int(request.folder_max_mb * (1 << 20))} bytes)")).alias("reason"),
+            F.lit(0).alias("score"), F.col("size").alias("estimated_chars"),
+        )
+        items, omitted = items.unionByName(taken), omitted.unionByName(too_large)
+    return items, omitted

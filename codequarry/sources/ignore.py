@@ -88,7 +88,7 @@ class IgnoreMatcher:
         return any(self._decide(p, True) for p in above) or self._decide(path, directory)
 
 
-def load_matcher(repo_root: str, ws_root: str | None = None, extra: list[str] | None = None) -> IgnoreMatcher:
+def load_rules(repo_root: str, ws_root: str | None = None, extra: list[str] | None = None) -> list[str]:
     """Rules of the configuration, then of the repository's and the workspace's ignore files."""
     lines = [*ALWAYS, *(extra or [])]
     for root in dict.fromkeys([repo_root, ws_root or repo_root]):
@@ -96,4 +96,4 @@ def load_matcher(repo_root: str, ws_root: str | None = None, extra: list[str] |
             file = Path(root, name)
             if file.is_file():
                 lines += file.read_text("utf-8", "replace").splitlines()
-    return IgnoreMatcher(lines)
+    return lines

@@ -355,3 +355,30 @@ def test_symbols_are_looked_for_in_the_scope(spark, mono):
     with pytest.raises(AnchorNotFound):
         cli.run([*argv, "--symbol", "hello"], mono, spark)
     assert json.loads(cli.run([*argv, "--symbol", "hello", "--fallback-all"], mono, spark)[0])["items"]
+
+
+def test_folder_source(spark, tmp_path):
+    """Every entry once, whatever the partitions; links are followed when asked, but not in circles."""
+    from codequarry.sources import folder
+
+    for k in range(8):
+        (tmp_path / f"f/a{k}/b/c").mkdir(parents=True)
+        (tmp_path / f"f/a{k}/b/t{k}.md").write_text("t" * k)
+    (tmp_path / "f/a0/.h").write_text("hidden")
+    (tmp_path / "f/a1/big.txt").write_text("x" * 100)
+    (tmp_path / "f/a2/z.bin").write_bytes(b"a\0b")
+    (tmp_path / "f/a3/up").symlink_to(tmp_path / "f/a3")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/o.md").write_text("o")
+    (tmp_path / "f/a4/out").symlink_to(tmp_path / "other")
+    def read(**more):
+        rows = folder.read_folder(spark, str(tmp_path / "f"), str(tmp_path), ["a7/"], 50, **more).collect()
+        assert len(rows) == len({r["path"] for r in rows})
+        return {r["path"].removeprefix(str(tmp_path) + "/"): (r["kind"], r["size"]) for r in rows}
+
+    want = {f"f/a{k}/b/t{k}.md": ("text", k) for k in range(7)} | {f"f/a{k}/b/c": ("directory", 0) for k in range(7)}
+    want |= {"f/a1/big.txt": ("too-large", 100), "f/a2/z.bin": ("binary", 3)}
+    assert read() == want
+    assert read(hidden=True) == want | {"f/a0/.h": ("text", 6)}
+    assert read(links=True)["f/a4/out/o.md"] == ("text", 1)
+    assert folder.read_folder(spark, str(tmp_path / "none"), str(tmp_path), []).count() == 0
