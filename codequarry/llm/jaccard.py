@@ -54,8 +54,9 @@ BAND, SLACK = 1.5, 0.06
 #: Rows up to which a table of ids, or of classes with their blocks, is sent to every task
 #: (about 100 bytes a row); beyond that both sides are shuffled.
 BROADCAST_ROWS = 250_000
-#: Grams of a share; beyond ``MANY`` shares of a block, shares grow with it, as each is paired with every other.
-BLOCK_GRAMS, MANY = 60_000, 64
+#: Grams and classes of a share; beyond ``MANY`` shares of a block, shares grow with it, as each
+#: is paired with every other.
+BLOCK_GRAMS, BLOCK_CLASSES, MANY = 60_000, 600, 64
 #: DivideSkip's constant: what a probe costs against an entry that goes through the heap.
 MU = 0.0005
 #: Long lists probed between two looks at which candidates can still link.
@@ -348,7 +349,7 @@ def _link(source: DataFrame, unique: bool, words: int, threshold: Threshold, blo
     )
     n_blocks = blocks.count()
     sized = blocks.join(classes.select("node", "n", "weight"), "node")
-    ratio = F.sum("n") / block_grams
+    ratio = F.greatest(F.sum("n") / block_grams, F.count(F.lit(1)) / BLOCK_CLASSES)
     shares = checkpointed(
         sized.groupBy("a").agg(
             F.ceil(F.least(ratio, F.sqrt(MANY * ratio))).cast("int").alias("shares"), F.count(F.lit(1)).alias("held")
