@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, join_counted, partitions, row_columns, whole_row
+from .common import LOWER, UPPER, checkpointed, join_counted, partitions, release, row_columns, whole_row
 from .components import components
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -360,6 +360,10 @@ def _link(source: DataFrame, unique: bool, words: int, threshold: Threshold, blo
         .groupBy("node", "weight")
         .agg(F.collect_list(F.struct(F.col("a").alias("pivot"), "shares")).alias("blocks"))
     )
+    # The parts and their shuffle are by far the most of what was kept till here. Nothing needs
+    # them any more, and the search moves as much again: let them go before it.
+    del measured, filled, placed_rows, empty, emitted, pairs
+    release(spark)
     linked = _search(source, placed, n_blocks, threshold, words, partitions(spark))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     labels = checkpointed(components(linked.select(F.col("node").alias("a"), F.col("label").alias("b"))))
