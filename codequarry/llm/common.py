@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -63,12 +62,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark drop the shuffles and kept files that no frame of the driver's refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path under the shared folder for files that an operator writes."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
