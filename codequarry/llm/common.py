@@ -48,13 +48,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that losing an executor costs
     no more than the tasks it was running. Spark drops the files with the last use. The shuffles
-    that led there aren't needed any more and go at once, not when the driver next collects garbage."""
+    that led there aren't needed any more and go at once, not when the driver next collects garbage;
+    a plan takes that from the setting in force when it is made, hence the selection."""
     spark = df.sparkSession
     shared_dir(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

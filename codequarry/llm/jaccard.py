@@ -13,7 +13,13 @@ threshold. Documents of equal sets form a class, and one of them searches for al
    of all its classes, and runs that cross a border share one pivot. All classes of a pivot
    are a block; classes that link have a pivot in common. (Blocks aren't chained any further:
    chains of chance agreements would grow with the corpus.)
-3. In a block, inverted lists of grams are searched for every class, by DivideSkip: the
+3. Blocks also hold classes that met by chance, over passages that many texts share, and those
+   grow faster than the corpus. So sketches move before sets do: a bit for each residue of the
+   gram hashes, set where an odd number of grams has it, one or two bits a gram. Two sets
+   differ in at least as many grams as their sketches in bits; a class whose sketch leaves it
+   no partner in a block goes from it. That is exact too: both ends of a link stay in all
+   blocks that they share.
+4. In a block, inverted lists of grams are searched for every class, by DivideSkip: the
    longest lists are set aside, the short ones go through a heap, and what the heap brings up
    often enough is looked for in the long lists by binary search, shortest first, until it
    can't reach the required overlap any more. What reaches it is a link. A class is searched
@@ -21,7 +27,7 @@ threshold. Documents of equal sets form a class, and one of them searches for al
    counts in that of the smallest common pivot. Blocks beyond ``block_grams`` are split into
    shares, and each pair of shares is a group of its own, so no task holds a whole block.
 
-Only classes in blocks ever move with their sets. Links give components, whose id is the
+Only classes in what is left of blocks ever move with their sets. Links give components, whose id is the
 smallest document id. Very common sets meet their class without a shuffle by it
 (``join_counted``).
 
@@ -36,11 +42,12 @@ passed on by ``drop_near_copies``.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, join_counted, partitions, row_columns, whole_row
@@ -57,6 +64,8 @@ BROADCAST_ROWS = 250_000
 #: Grams and classes of a share; beyond ``MANY`` shares of a block, shares grow with it, as each
 #: is paired with every other.
 BLOCK_GRAMS, BLOCK_CLASSES, MANY = 60_000, 600, 64
+#: Grams and classes of a share when sketches are compared, and words of sketches compared at once.
+SKETCH_GRAMS, SKETCH_CLASSES, CELLS = 4_000_000, 1_500, 1 << 21
 #: DivideSkip's constant: what a probe costs against an entry that goes through the heap.
 MU = 0.0005
 #: Long lists probed between two looks at which candidates can still link.
@@ -89,6 +98,13 @@ def grams(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Which residues an odd number of grams has, as bits; their number is a power of two, 64 at least."""
+    bits = max(64, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 class Threshold:
     """Similarity num/den in whole numbers."""
 
@@ -102,6 +118,11 @@ class Threshold:
     def links(self, a, b, both):
         return self.den * both >= self.num * (a + b - both)
 
+    def able(self, a, b, differ):
+        """Whether sets of a and b grams that differ in ``differ`` or more may link."""
+        fit = self.num * np.maximum(a, b) <= self.den * np.minimum(a, b)
+        return fit & (differ <= a + b - 2 * -(-self.num * (a + b) // (self.num + self.den)))
+
     def differ(self, n: int) -> int:
         """The most grams in which a set of n and any linked one differ."""
         return (n + n * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
@@ -208,6 +229,50 @@ class Index:
         return members[linked], both[linked]
 
 
+def _by_length(sizes: list[int], sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, sizes, sketches as rows of 64-bit words) for each length of sketches."""
+    places: dict[int, list[int]] = {}
+    for k, one in enumerate(sketches):
+        places.setdefault(len(one), []).append(k)
+    n = np.array(sizes, np.int64)
+    return [
+        (np.array(at), n[at], np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1)) for at in places.values()
+    ]
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The sketches as they would be with that many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def partners(
+    a: tuple[list[int], list[bytes]], b: tuple[list[int], list[bytes]] | None, threshold: Threshold
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``a``, and which of ``b``, may link with one of the others by sizes and sketches;
+    without ``b`` those of ``a`` are compared among themselves."""
+    within = b is None
+    b = a if within else b
+    met_a, met_b = np.zeros(len(a[0]), bool), np.zeros(len(b[0]), bool)
+    others = _by_length(*b)
+    for at, n, rows in _by_length(*a):
+        for to, m, columns in others:
+            words = min(rows.shape[1], columns.shape[1])
+            x, y = _folded(rows, words), _folded(columns, words)
+            step = max(1, CELLS // (len(y) * words))
+            for k in range(0, len(x), step):
+                here = slice(k, k + step)
+                differ = np.bitwise_count(x[here, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                able = threshold.able(n[here, None], m[None, :], differ)
+                if within:
+                    able &= at[here, None] != to[None, :]
+                met_a[at[here]] |= able.any(1)
+                met_b[to] |= able.any(0)
+    return met_a, met_b
+
+
 class _Roots:
     def __init__(self, n: int) -> None:
         self.root = list(range(n))
@@ -303,24 +368,25 @@ def _link(source: DataFrame, unique: bool, words: int, threshold: Threshold, blo
         from xxhash import xxh128_digest
 
         for batch in batches:
-            sizes, marks, parts = [], [], []
+            sizes, marks, sketches, parts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = grams(text, words)
                 sizes.append(len(own))
                 marks.append(xxh128_digest(own.tobytes()))
+                sketches.append(sketch(own))
                 parts.append(threshold.signatures(own).view(np.int64))
             offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
+                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64())),
                 ],
-                ["_id", "_rid", "n", "mark", "parts"],
+                ["_id", "_rid", "n", "mark", "sketch", "parts"],
             )
 
     said = source.select("_id", "_text", "_rid")
-    measured = checkpointed(said.mapInArrow(measure, f"_id {id_type}, _rid long, n long, mark binary, parts array<long>"))
+    measured = checkpointed(said.mapInArrow(measure, f"_id {id_type}, _rid long, n long, mark binary, sketch binary, parts array<long>"))
     filled = measured.where("n > 0")
     # Classes of equal sets; the smallest row number of a class is its node.
     first = lambda rid: F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), rid.alias("rid"))
@@ -347,16 +413,12 @@ def _link(source: DataFrame, unique: bool, words: int, threshold: Threshold, blo
     blocks = checkpointed(
         pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node"))).distinct()
     )
+    sketched = blocks.join(filled.select(F.col("_rid").alias("node"), "n", "sketch"), "node")
+    blocks = _sieve(_with_shares(sketched, blocks.count(), SKETCH_GRAMS, SKETCH_CLASSES), threshold, partitions(spark))
     n_blocks = blocks.count()
     sized = blocks.join(classes.select("node", "n", "weight"), "node")
-    ratio = F.greatest(F.sum("n") / block_grams, F.count(F.lit(1)) / BLOCK_CLASSES)
-    shares = checkpointed(
-        sized.groupBy("a").agg(
-            F.ceil(F.least(ratio, F.sqrt(MANY * ratio))).cast("int").alias("shares"), F.count(F.lit(1)).alias("held")
-        )
-    )
     placed = checkpointed(
-        join_counted(sized, shares, ["a"], "held", n_blocks)
+        _with_shares(sized, n_blocks, block_grams, BLOCK_CLASSES)
         .groupBy("node", "weight")
         .agg(F.collect_list(F.struct(F.col("a").alias("pivot"), "shares")).alias("blocks"))
     )
@@ -450,6 +512,66 @@ def _chains(emitted: DataFrame, tasks: int) -> DataFrame:
     return pairs.unionByName(across).where("a <> b").distinct()
 
 
+def _with_shares(members: DataFrame, total: int, most_grams: int, most_classes: int) -> DataFrame:
+    """``members`` of blocks (a, n and others), ``total`` rows, with the number of their block's shares."""
+    ratio = F.greatest(F.sum("n") / most_grams, F.count(F.lit(1)) / most_classes)
+    shares = checkpointed(
+        members.groupBy("a").agg(
+            F.ceil(F.least(ratio, F.sqrt(MANY * ratio))).cast("int").alias("shares"), F.count(F.lit(1)).alias("held")
+        )
+    )
+    return join_counted(members, shares, ["a"], "held", total)
+
+
+def _dealt(members: DataFrame, block: Column, shares: Column, columns: list[str], tasks: int) -> DataFrame:
+    """(block, r, s, role) and the columns of a block's members, for each pair of its shares. A
+    member of share s is indexed in the pairs (s, t) with t >= s, and asks (role 1) in the pairs
+    (r, s) with r < s; in (s, s) the members ask one another. One share: (0, 0)."""
+    pair = lambda r, s, role: F.struct(r.alias("r"), s.alias("s"), F.lit(role).alias("role"))
+    places = F.transform(
+        F.sequence(F.lit(0), shares - 1), lambda t: F.when(t >= F.col("_s"), pair(F.col("_s"), t, 0)).otherwise(pair(t, F.col("_s"), 1))
+    )
+    spread = (
+        members.withColumn("_s", F.pmod(F.xxhash64("node"), shares).cast("int"))
+        .withColumn("_p", F.explode(places))
+        .select(block.alias("block"), "_p.r", "_p.s", "_p.role", *columns)
+    )
+    return spread.repartition(tasks, "block", "r", "s").sortWithinPartitions("block", "r", "s", "role", "node")
+
+
+def _sieve(members: DataFrame, threshold: Threshold, tasks: int) -> DataFrame:
+    """(a, node) of those members of blocks (a, node, n, sketch, shares) that may link with another one."""
+    dealt = _dealt(members, F.col("a"), F.col("shares"), ["node", "n", "sketch"], tasks)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, found = [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(found, pa.int64())], ["a", "node"])
+            a.clear()
+            found.clear()
+            return out
+
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (block, r, s), group in itertools.groupby(rows, lambda row: row[:3]):
+            sides: tuple = (([], [], []), ([], [], []))
+            for row in group:
+                for column, value in zip(sides[row[3]], row[4:], strict=True):
+                    column.append(value)
+            (nodes, *own), (asking, *queries) = sides
+            mets = partners(tuple(own), None if r == s else tuple(queries), threshold)
+            for side, met in zip((nodes, asking), mets, strict=r != s):
+                kept = [side[k] for k in np.flatnonzero(met[: len(side)]).tolist()]
+                found += kept
+                a += [block] * len(kept)
+            if len(found) >= 50_000:
+                yield flush()
+        if found:
+            yield flush()
+
+    return checkpointed(dealt.mapInArrow(sieve, "a long, node long").distinct())
+
+
 def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Threshold, words: int, tasks: int) -> DataFrame:
     """(node, label, links) from the T-occurrence search of every block."""
     wanted = placed.select(F.col("node").alias("_rid"), "weight", "blocks")
@@ -461,21 +583,8 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], own], ["node", "weight", "blocks", "own"])
 
     made = texts.mapInArrow(sets, "node long, weight long, blocks array<struct<pivot:long,shares:int>>, own binary")
-    share = F.pmod(F.xxhash64("node"), F.col("b.shares")).cast("int")
-    # A member of share s is indexed in the pairs (s, t) with t >= s, and asks (role 1) in the
-    # pairs (r, s) with r < s; in (s, s) the members ask one another. One share: (0, 0).
-    pair = lambda r, s, role: F.struct(r.alias("r"), s.alias("s"), F.lit(role).alias("role"))
-    places = F.transform(
-        F.sequence(F.lit(0), F.col("b.shares") - 1),
-        lambda t: F.when(t >= F.col("s"), pair(F.col("s"), t, 0)).otherwise(pair(t, F.col("s"), 1)),
-    )
-    spread = (
-        made.select("node", "weight", F.col("blocks.pivot").alias("pivots"), "own", F.explode("blocks").alias("b"))
-        .withColumn("s", share)
-        .withColumn("p", F.explode(places))
-        .select(F.col("b.pivot").alias("block"), "p.r", "p.s", "p.role", "node", "weight", "own", "pivots")
-    )
-    dealt = spread.repartition(tasks, "block", "r", "s").sortWithinPartitions("block", "r", "s", "role", "node")
+    asked = made.select("node", "weight", F.col("blocks.pivot").alias("pivots"), "own", F.explode("blocks").alias("b"))
+    dealt = _dealt(asked, F.col("b.pivot"), F.col("b.shares"), ["node", "weight", "own", "pivots"], tasks)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from ast import literal_eval
 
@@ -360,6 +361,55 @@ def test_linked_sets_share_a_part(n, lost, added, sim, seed):
             assert len(np.intersect1d(t.signatures(x), t.signatures(y)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([(85, 100), (80, 100), (1, 2)]), st.integers(0, 1 << 30))
+def test_sketches_never_part_what_links(n, lost, added, sim, seed):
+    rng = np.random.default_rng(seed)
+    t = jaccard.Threshold(*sim)
+    x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    y = np.unique(np.concatenate([x[min(lost, len(x) - 1) :], rng.integers(0, 1 << 63, added).astype(np.uint64)]))
+    far = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    sets = [far, x, y]
+    met, _ = jaccard.partners(([len(s) for s in sets], [jaccard.sketch(s) for s in sets]), None, t)
+    across = [jaccard.partners(([len(s)], [jaccard.sketch(s)]), ([len(y)], [jaccard.sketch(y)]), t) for s in (x, far)]
+    if t.links(len(x), len(y), len(np.intersect1d(x, y))):
+        assert met[1] and met[2] and across[0][0][0] and across[0][1][0]
+    if n > 100 and sim != (1, 2):
+        assert not met[0] and not across[1][0][0]
+
+
+@pytest.mark.parametrize("share", [1_500, 7])
+def test_texts_that_only_share_passages_move_no_sets(spark, monkeypatch, share):
+    """Blocks that meet by chance end with the sketches; links among their texts stay."""
+    rng = random.Random(8)
+    own = lambda: [f"o{rng.randrange(1 << 40)}" for _ in range(60)]
+    passage = own()
+    rows = [(k, " ".join([*own()[:30], *passage, *own()[:30]])) for k in range(40)]
+    rows += [(40, rows[3][1] + " tail"), (41, rows[30][1] + " of"), (42, rows[30][1] + " its own")]
+    placed, search = [], jaccard._search
+    monkeypatch.setattr(jaccard, "SKETCH_CLASSES", share)
+    monkeypatch.setattr(jaccard, "_search", lambda source, found, *more: placed.append(sorted(r["node"] for r in found.collect())) or search(source, found, *more))
+    got = jaccard.link_documents(frame(spark, rows), 4, (85, 100)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_links(rows, 4, 85, 100)
+    assert placed == [[3, 30, 40, 41, 42]]
+
+
+def test_shuffles_go_with_the_checkpoint(spark):
+    """Also those of a table that was made before."""
+    from codequarry.llm import common
+
+    def shuffles():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = shuffles()
+    kept = common.checkpointed(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and kept.count() == 1000
+
+
 def test_index_search():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64))
