@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from . import python_ast, ts_tokens
 from .records import Found
@@ -13,7 +14,9 @@ from .records import Found
 class Adapter:
     lang: str
     extensions: tuple[str, ...]
-    parse: Callable[[str], list[Found]]
+    parse: Callable[..., list[Found]]
+    #: Whether ``parse`` can be told the kinds of records that are wanted, and spare work for others.
+    by_kind: bool = False
 
 
 _REGISTERED: dict[str, Adapter] = {}
@@ -28,8 +31,8 @@ def unregister(lang: str) -> None:
     _REGISTERED.pop(lang, None)
 
 
-def parsers() -> dict[str, Callable[[str], list[Found]]]:
-    return {a.lang: a.parse for a in _REGISTERED.values()}
+def parsers(kinds: frozenset[str] | None = None) -> dict[str, Callable[[str], list[Found]]]:
+    return {a.lang: partial(a.parse, kinds=kinds) if a.by_kind else a.parse for a in _REGISTERED.values()}
 
 
 def languages() -> dict[str, str]:
@@ -37,5 +40,5 @@ def languages() -> dict[str, str]:
     return {e: a.lang for a in _REGISTERED.values() for e in a.extensions}
 
 
-register(Adapter("ts", (".ts", ".tsx", ".js", ".jsx"), ts_tokens.parse))
+register(Adapter("ts", (".ts", ".tsx", ".js", ".jsx"), ts_tokens.parse, by_kind=True))
 register(Adapter("py", (".py",), python_ast.parse))

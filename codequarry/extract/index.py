@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,38 +20,60 @@ from . import adapters
 from .records import RECORD
 
 _COLUMNS = [c.split(" ")[0] for c in RECORD.split(", ")]
+_TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split(" ")[1]] for c in RECORD.split(", ")]
+#: Records that a task holds before it passes them on.
+BATCH = 20_000
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, kinds: frozenset[str] | None = None) -> DataFrame:
     """Records of all files (ws_root, path, lang, content), each file parsed once; files of
-    languages that no adapter knows have none."""
-    parse_of = adapters.parsers()
+    languages that no adapter knows have none. ``kinds`` names the records that are wanted, all
+    if it is None."""
+    parse_of = adapters.parsers(kinds)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _COLUMNS)
+            out.clear()
+            return made
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for ws_root, path, lang, content in batch[["ws_root", "path", "lang", "content"]].itertuples(index=False):
+            for ws_root, path, lang, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for seq, f in enumerate(parse_of[lang](content or "") if lang in parse_of else ()):
-                    rows.append(
-                        (ws_root, path, lang, seq, f.rec, f.name, f.kind, f.start_line, f.end_line, f.owner, f.owner_start,
-                         f.owner_end, f.receiver, f.level, f.is_dynamic, f.status)
-                    )
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("owner_start", "owner_end"):
-                out[c] = out[c].astype("Int32")
-            yield out
+                    if kinds is None or f.rec in kinds:
+                        out.append(
+                            (ws_root, path, lang, seq, f.rec, f.name, f.kind, f.start_line, f.end_line, f.owner, f.owner_start,
+                             f.owner_end, f.receiver, f.level, f.is_dynamic, f.status)
+                        )
+                if len(out) >= BATCH:
+                    yield flush()
+        if out:
+            yield flush()
 
-    return files.select("ws_root", "path", "lang", "content").mapInPandas(parse, RECORD)
+    return files.select("ws_root", "path", "lang", "content").mapInArrow(parse, RECORD)
 
 
 @dataclass(frozen=True)
 class Index:
-    """The relations of a repository."""
+    """The relations of a repository; modules and imports are made when they are first asked for."""
 
     files: DataFrame
     records: DataFrame
-    modules: DataFrame
-    imports: DataFrame
+    import_roots: tuple[str, ...] = ("src", ".")
+    known_imports: DataFrame | None = None
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return kept(python_modules(self.files, list(self.import_roots)))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        if self.known_imports is not None:
+            return self.known_imports
+        edges = python_imports(self.records, self.modules).unionByName(ts_imports(self.records, self.files))
+        return kept(merge_edge_types(edges, F.col("lang")))
 
     @property
     def definitions(self) -> DataFrame:
@@ -133,22 +156,22 @@ def ts_imports(records: DataFrame, files: DataFrame) -> DataFrame:
     return edges.where((F.col("src") != F.col("dst")) & paths.inside(F.col("dst"), F.col("ws_root")))
 
 
-def build_index(files: DataFrame, import_roots: list[str] | None = None, store: str | None = None) -> Index:
+def build_index(
+    files: DataFrame, import_roots: list[str] | None = None, store: str | None = None, kinds: tuple[str, ...] | None = None
+) -> Index:
     """Parse the files and resolve their imports; everything is kept, as plans read it often.
-    With a store only what changed since its last use is parsed."""
+    With a store only what changed since its last use is parsed. ``kinds`` names the records
+    that a plan reads, if not all (a store holds all)."""
     files = kept(files)
-    if store:
-        from codequarry.streaming import index_store
-
-        records = index_store.refresh(files, store)
-    else:
-        records = kept(parse_files(files))
-    modules = kept(python_modules(files, import_roots or ["src", "."]))
-    if store and (known := index_store.stored_edges(files.sparkSession, store)) is not None:
+    roots = tuple(import_roots or ["src", "."])
+    if not store:
+        return Index(files, kept(parse_files(files, None if kinds is None else frozenset(kinds))), roots)
+    from codequarry.streaming import index_store
+
+    records = index_store.refresh(files, store)
+    if (known := index_store.stored_edges(files.sparkSession, store)) is not None:
         homes = files.select("ws_root", F.col("path").alias("src"))
-        return Index(files, records, modules, kept(known.join(homes, "src").select("ws_root", "src", "dst", "edge_type")))
-    edges = python_imports(records, modules).unionByName(ts_imports(records, files))
-    edges = kept(merge_edge_types(edges, F.col("lang")))
-    if store:
-        index_store.save_edges(edges, store)
-    return Index(files, records, modules, edges)
+        return Index(files, records, roots, kept(known.join(homes, "src").select("ws_root", "src", "dst", "edge_type")))
+    index = Index(files, records, roots)
+    index_store.save_edges(index.imports, store)
+    return index

@@ -97,7 +97,7 @@ def _within_projects(index: Index, roots: list[str], top: str) -> Index:
     while not level.isEmpty():
         level = kept(level.join(edges, "src").select(F.col("dst").alias("src")).distinct().join(program, "src", "left_anti"))
         program = kept(program.unionByName(level))
-    return replace(index, imports=kept(index.imports.join(program, "src", "left_semi").select(*index.imports.columns)))
+    return replace(index, known_imports=kept(index.imports.join(program, "src", "left_semi").select(*index.imports.columns)))
 
 
 def resolve(spark: SparkSession, request: Request, cwd: str, projects: bool = False) -> Resolved:

@@ -77,10 +77,16 @@ export const twice{k} = (x: number) => make{k}(x) * 2;
 """
 
 
+#: Files made, and then parsed, by a task.
+FILES = 10_000
+
+
 def _files(spark: SparkSession, sf_dir: str, name: str, number: str, folder: str, path: str, template: str, lang: str) -> DataFrame:
     own = _t(spark, sf_dir, name).select(F.col(number).alias("k"), F.col(folder).alias("n"))
     after = lambda step, k, n: own.select((F.col("k") - step).alias("k"), F.col("k").alias(k), F.col("n").alias(n))
     rows = own.join(after(1, "a", "na"), "k", "left").join(after(2, "b", "nb"), "k", "left")
+    # Numbers are few bytes, so the join leaves few tasks, or one; texts and their parsing need many.
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-own.count() // FILES)), "k")
 
     def filled(text: str) -> Column:
         out = F.lit(text)
@@ -128,7 +134,7 @@ SELECT path AS src, pa AS dst, 'imports' AS edge_type FROM m WHERE pa IS NOT NUL
 UNION ALL SELECT path, pb, 'imports-dynamic' FROM m WHERE pb IS NOT NULL""")
 def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a module back off to it, a static import beats a dynamic one, own modules are no edges."""
-    return build_index(_python(spark, sf_dir)).imports.select("src", "dst", "edge_type")
+    return build_index(_python(spark, sf_dir), kinds=("import",)).imports.select("src", "dst", "edge_type")
 
 
 @query(f"""WITH {_TS}
@@ -136,7 +142,7 @@ SELECT path AS src, pa AS dst, 'imports-dynamic' AS edge_type FROM m WHERE pa IS
 UNION ALL SELECT path, pb, 'imports' FROM m WHERE pb IS NOT NULL""")
 def typescript_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dynamic import beats a static one; comments import nothing; .js may mean .ts."""
-    return build_index(_typescript(spark, sf_dir)).imports.select("src", "dst", "edge_type")
+    return build_index(_typescript(spark, sf_dir), kinds=("import",)).imports.select("src", "dst", "edge_type")
 
 
 @query(f"""WITH {_TS}
@@ -150,6 +156,8 @@ def typescript_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CALLS = ("path", "caller", "callee_path", "callee", "shape", "confidence", "is_dynamic", "start_line")
+#: Records that calls are resolved with.
+_CALL_KINDS = ("definition", "import", "call")
 _PY_CALLS = """
 calls AS (
   SELECT path, NULL AS caller, NULL AS callee_path, 'importlib.import_module' AS callee, 'attribute' AS shape, 0.5 AS confidence, true AS is_dynamic, 4 AS start_line FROM m
@@ -164,7 +172,7 @@ calls AS (
 @query(f"""WITH {_PY}, {_PY_CALLS} SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM calls""")
 def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callees by name: in the own file first, then in imported ones; self is the enclosing class."""
-    return symbols.call_edges(build_index(_python(spark, sf_dir))).select(*_CALLS)
+    return symbols.call_edges(build_index(_python(spark, sf_dir), kinds=_CALL_KINDS)).select(*_CALLS)
 
 
 @query(f"""WITH {_TS}
@@ -178,7 +186,7 @@ SELECT path, caller, callee_path, callee, shape, CAST(confidence AS DOUBLE) AS c
   UNION ALL SELECT path, 'twice' || k, path, 'make' || k, 'identifier', 1.0, false, 18 FROM m)""")
 def typescript_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods of what is annotated or a new instance; calls inside templates."""
-    return symbols.call_edges(build_index(_typescript(spark, sf_dir))).select(*_CALLS)
+    return symbols.call_edges(build_index(_typescript(spark, sf_dir), kinds=_CALL_KINDS)).select(*_CALLS)
 
 
 @query(f"""WITH {_PY},
@@ -188,7 +196,7 @@ names AS (
 SELECT name, count(*) AS files, min(path) AS first FROM names GROUP BY 1""")
 def python_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names to the files that use them."""
-    found = build_index(_python(spark, sf_dir)).identifiers.select("path", F.array("name").alias("names")).distinct()
+    found = build_index(_python(spark, sf_dir), kinds=("identifier",)).identifiers.select("path", F.array("name").alias("names")).distinct()
     return matching.inverted_index(found, "path", F.col("names"))
 
 

@@ -382,3 +382,15 @@ def test_folder_source(spark, tmp_path):
     assert read(hidden=True) == want | {"f/a0/.h": ("text", 6)}
     assert read(links=True)["f/a4/out/o.md"] == ("text", 1)
     assert folder.read_folder(spark, str(tmp_path / "none"), str(tmp_path), []).count() == 0
+
+
+def test_made_files_are_parsed_by_many_tasks(spark, sf_dir):
+    """Joining the numbers leaves one task; texts are made and parsed by as many as there are cores."""
+    from codequarry.extract.index import build_index
+    from codequarry.plans import source_queries
+
+    for made in (source_queries._typescript(spark, sf_dir), source_queries._python(spark, sf_dir)):
+        index = build_index(made, kinds=("definition", "import", "call"))
+        assert index.records.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        held = [n for n in index.files.rdd.glom().map(len).collect() if n]
+        assert len(held) > 1 and max(held) < sum(held)
