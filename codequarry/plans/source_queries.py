@@ -126,7 +126,7 @@ UNION ALL SELECT path, 'size', 'method', 12, 14, 'Box' || k FROM m
 UNION ALL SELECT path, 'helper' || k, 'function', 17, 18, NULL FROM m""")
 def python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decorators belong to a definition's range."""
-    return build_index(_python(spark, sf_dir)).definitions.select("path", "name", "kind", "start_line", "end_line", "owner")
+    return build_index(_python(spark, sf_dir), kinds=("definition",)).definitions.select("path", "name", "kind", "start_line", "end_line", "owner")
 
 
 @query(f"""WITH {_PY}
@@ -152,7 +152,7 @@ UNION ALL SELECT path, 'it', 'variable', 12, 12 FROM m
 UNION ALL SELECT path, 'Size' || k, 'type', 17, 17 FROM m
 UNION ALL SELECT path, 'twice' || k, 'variable', 18, 18 FROM m""")
 def typescript_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_index(_typescript(spark, sf_dir)).definitions.select("path", "name", "kind", "start_line", "end_line")
+    return build_index(_typescript(spark, sf_dir), kinds=("definition",)).definitions.select("path", "name", "kind", "start_line", "end_line")
 
 
 _CALLS = ("path", "caller", "callee_path", "callee", "shape", "confidence", "is_dynamic", "start_line")

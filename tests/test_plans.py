@@ -394,3 +394,18 @@ def test_made_files_are_parsed_by_many_tasks(spark, sf_dir):
         assert index.records.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         held = [n for n in index.files.rdd.glom().map(len).collect() if n]
         assert len(held) > 1 and max(held) < sum(held)
+
+
+@pytest.mark.parametrize("kinds", [("definition",), ("import",), ("call",), ("identifier",), ("definition", "import", "call")])
+def test_only_the_records_that_a_plan_reads_are_kept(spark, mono, monkeypatch, kinds):
+    """With the same fields as among all records, and by few records at a time; modules and imports aren't made unasked."""
+    from codequarry.extract import index
+    from codequarry.sources.repo import read_repo
+
+    files = read_repo(spark, mono, mono)
+    every = index.build_index(files).records
+    monkeypatch.setattr(index, "BATCH", 3)
+    found = index.build_index(files, kinds=kinds)
+    assert {r["rec"] for r in found.records.collect()} == set(kinds)
+    assert sorted(map(str, found.records.collect())) == sorted(map(str, every.where(every["rec"].isin(*kinds)).collect()))
+    assert not {"modules", "imports"} & set(vars(found))
