@@ -59,8 +59,8 @@ def token_pieces(
         with tokenizer(vocabulary) as tok:
             for texts in batches:
                 rows = []
-                for text in texts.tolist():
-                    ids = tok.ids(text or "") + end
+                for own in tok.each(texts.tolist()):
+                    ids = own + end
                     rows.append(
                         [
                             {"piece": k, "start": s, "length": n, "crc": zlib.crc32(ids[4 * s : 4 * (s + n)])}

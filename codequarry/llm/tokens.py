@@ -2,7 +2,8 @@
 
 A text is cut where the file's own pre-tokenizer always cuts (single blanks and line breaks
 between other characters), and the ids of each piece are kept, so the library sees each
-distinct piece once per worker - all pieces that a text adds in one call. Texts for which
+distinct piece once per worker - thousands of them in a call. Of a group of texts Arrow finds
+the distinct pieces and gathers their ids, so Python sees each once. Texts for which
 that cut isn't certain - unusual white space, scripts beyond the Latin blocks, combining
 marks, strings of special tokens - go through the library whole. Tests hold both ways
 against each other.
@@ -10,14 +11,24 @@ against each other.
 
 from __future__ import annotations
 
+import os
 import re
-from array import array
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 
 #: Distinct pieces that a task keeps, about 150 MB. Between tasks a worker keeps the short ones,
 #: which recur most.
-KEPT_PIECES, SHORT = 600_000, 8
+KEPT_PIECES, SHORT = 600_000, 9  # with the blank before
+#: Runs of marks that are kept, and the marks.
+KEPT_TAILS, MARKS = 10_000, string.punctuation
+#: Characters that are cut at once (one text at least), pieces that go to the library in a call,
+#: and those of them that stand side by side in one of its texts.
+GROUP_CHARS, CALL, JOINED = 4_000_000, 8_192, 64
 
 # Beyond U+024F, or control separators that engines class differently.
 _BEYOND = re.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -36,86 +47,158 @@ def _plain(text: str) -> bool:
 
 
 class FastTokenizer:
-    """``ids(text)``: the ids as bytes of little-endian unsigned 32-bit numbers."""
+    """``each(texts)`` and ``ids(text)``: the ids as bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # The tasks are the threads; the library's own would only compete with them.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         pre = self.tokenizer.pre_tokenizer
         # Which pieces are safe depends on the file: blanks kept with the next word, or all dropped.
         sample = tuple(s for s, _ in pre.pre_tokenize_str("a b\nc")) if pre else ()
         self.kind = {("a", "Ġb", "Ċ", "c"): "blank-first", ("a", "b", "c"): "dropped"}.get(sample)
-        # What stands between pieces that are encoded together: one token that no piece holds.
-        self.between = {"blank-first": "\n", "dropped": " | "}.get(self.kind, "")
-        mark = self._encode(self.between.strip(" ")) if self.kind else []
+        # What stands between pieces whose ends their tokens don't show: one token that no piece holds.
+        self.between = {"blank-first": "\n", "dropped": " |"}.get(self.kind, "")
+        mark = self._encode([self.between.strip(" ")]).tolist() if self.kind else []
         if len(mark) != 1:
             self.kind = None
         self.mark = mark[0] if mark else -1
-        self.line_end = array("I", mark).tobytes()
-        self.stops = {c: self.whole(c) for c in ".,"} if self.kind else {}
+        # By id: the token begins a piece, or ends a word.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.kind == "blank-first":
+            self.edge[[i for token, i in vocabulary.items() if token.startswith(("Ġ", "Ċ"))]] = True
+        elif self.suffix:
+            self.edge[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
         self.folds = self.kind == "dropped" and self.whole("ÀÉ a") == self.whole("àé A")
-        self.first: dict[str, bytes] = {}  # pieces at the start of a line
-        self.later: dict[str, bytes] = {}  # pieces after a blank, which they don't show
+        self.held: dict[str, bytes] = {}  # pieces, each with the blank or line break before it
+        self.tails: dict[str, bytes] = {}  # runs of marks after a word
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        """Ids of texts one after the other, without the places in the text that nothing here reads."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, "<u4") for e in found])
 
     def whole(self, text: str) -> bytes:
-        return array("I", self._encode(text)).tobytes()
-
-    def _learn(self, held: dict[str, bytes], pieces: list[str], blank: str) -> None:
-        missing = set(pieces).difference(held)
+        return self._encode([text]).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) >= KEPT_TAILS:
+                self.tails.clear()
+            self.tails[tail] = self.whole(tail)
+        return self.tails[tail]
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        raw, at = ids.tobytes(), (bounds * 4).tolist()
+        own = [raw[a:b] for a, b in pairwise(at)]
+        assert len(own) == len(pieces), "pieces and their ids don't match"
+        self.held.update(zip(pieces, own, strict=True))
+
+    def _learn_by_edge(self, pieces: list[str]) -> None:
+        """Pieces side by side, as they stand in a text; their tokens show where one begins or ends."""
+        for k in range(0, len(pieces), CALL):
+            some = pieces[k : k + CALL]
+            ids = self._encode(["".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)])
+            edges = np.flatnonzero(self.edge[ids])
+            self._keep(some, ids, np.append(edges, len(ids)) if self.kind == "blank-first" else np.append(0, edges + 1))
+
+    def _learn_by_mark(self, pieces: list[str]) -> None:
+        """Pieces of "dropped" that are no single words, with the mark after each."""
+        for k in range(0, len(pieces), CALL):
+            some = pieces[k : k + CALL]
+            ids = self._encode([self.between.join([*some[i : i + JOINED], ""]) for i in range(0, len(some), JOINED)])
+            marks = np.flatnonzero(ids == self.mark)
+            self._keep(some, np.delete(ids, marks), np.append(0, marks - np.arange(len(marks))))
+
+    def _learn(self, missing: list[str]) -> None:
+        words: dict[str, None] = {}
+        marked, mixed = [], []
+        for p in missing:
+            if p[1:].isalpha():
+                words[p] = None
+                continue
+            # A word and the marks after it are tokens of their own.
+            base = p.rstrip(MARKS)
+            if base[1:].isalpha():
+                marked.append((p, base))
+                if base not in self.held:
+                    words[base] = None
+            else:
+                mixed.append(p)
+        if self.kind == "blank-first":
+            self._learn_by_edge([*words, *mixed])
+        else:
+            (self._learn_by_edge if self.suffix else self._learn_by_mark)([*words])
+            self._learn_by_mark(mixed)
+        for p, base in marked:
+            self.held[p] = self.held[base] + self._tail(p[len(base) :])
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        own = list(map(self.held.get, pieces))
+        missing = [p for p, ids in zip(pieces, own, strict=True) if ids is None]
         if not missing:
-            return
-        if len(held) + len(missing) > KEPT_PIECES:
-            held.clear()
-            missing = set(pieces)
-        # A word and the mark after it are tokens of their own.
-        marked = [p for p in missing if p[-1:] in self.stops and p[:-1].isalpha()]
-        missing.difference_update(marked)
-        missing.update([b for b in [p[:-1] for p in marked] if b not in held])
-        if missing:
-            new = list(missing)
-            flat = self.between.join([blank + p for p in new])
-            k, own = 0, []
-            for i in self._encode(flat):
-                if i == self.mark:
-                    held[new[k]] = array("I", own).tobytes()
-                    own, k = [], k + 1
-                else:
-                    own.append(i)
-            held[new[k]] = array("I", own).tobytes()
-            assert k == len(new) - 1, "the mark between pieces is part of a piece"
-        for p in marked:
-            held[p] = held[p[:-1]] + self.stops[p[-1]]
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
+            return own
+        if len(self.held) + len(missing) > KEPT_PIECES:
+            self.held.clear()
+            missing = pieces
+        self._learn(missing)
+        return list(map(self.held.__getitem__, pieces))
+
+    def _certain(self, text: str) -> bool:
+        """The text may be cut."""
         if self.kind is None or "<|" in text or not _plain(text):
-            return self.whole(text)
+            return False
+        if self.kind == "dropped":
+            return "|" not in text and "İ" not in text
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n")
+
+    def _cut(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that may be cut: each distinct piece is looked up once, and its ids gathered to its places."""
         if self.kind == "dropped":
-            if "|" in text or "İ" in text:
-                return self.whole(text)
             # The file lower-cases anyway; for these blocks as Python does.
-            pieces = (text.lower() if self.folds else text).split()
-            if not pieces:
-                return b""
-            self._learn(self.later, pieces, "")
-            return b"".join(map(self.later.__getitem__, pieces))
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return self.whole(text)
-        starts, rests = [], []
-        for line in text.split("\n"):
-            start, *rest = line.split(" ")
-            starts.append(start)
-            rests.append(rest)
-        self._learn(self.first, starts, "")
-        self._learn(self.later, [p for rest in rests for p in rest], " ")
-        start, later = self.first.__getitem__, self.later.__getitem__
-        return self.line_end.join([start(s) + b"".join(map(later, rest)) for s, rest in zip(starts, rests, strict=True)])
+            raws = [(t.lower() if self.folds else t).replace("\n", " ").encode() for t in texts]
+            first, skip = b" ", 0
+        else:
+            raws = [t.encode() for t in texts]
+            first, skip = b"\n", 4  # the line break set before a text goes again, one id
+        flat = first + first.join(raws)
+        data = np.frombuffer(flat, np.uint8)
+        places = np.flatnonzero((data == 32) | (data == 10))
+        bounds = np.append(places, len(flat)).astype(np.int64)
+        cut = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(bounds), pa.py_buffer(flat)).dictionary_encode()
+        own = pa.array(self._pieces(cut.dictionary.to_pylist()), pa.large_binary()).take(cut.indices)
+        _, ends, ids = own.buffers()
+        starts = np.cumsum([0] + [len(r) + 1 for r in raws])
+        at = np.frombuffer(ends, np.int64)[: len(own) + 1][np.searchsorted(places, starts)]
+        ids = memoryview(ids or b"")
+        for a, b in pairwise(at.tolist()):
+            yield bytes(ids[a + skip : b])
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        certain = [bool(t) and self._certain(t) for t in texts]
+        cut = self._cut([t for t, sure in zip(texts, certain, strict=True) if sure]) if any(certain) else iter(())
+        for text, sure in zip(texts, certain, strict=True):
+            yield next(cut) if sure else self.whole(text) if text else b""
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of every text in turn; no text as an empty one."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def ids(self, text: str) -> bytes:
+        return next(self.each([text]))
 
 
 _held: dict[str, FastTokenizer] = {}
@@ -132,11 +215,10 @@ def tokenizer(path: str) -> Iterator[FastTokenizer]:
     try:
         yield own
     finally:
-        for pieces in (own.first, own.later):
-            short = {p: ids for p, ids in pieces.items() if len(p) <= SHORT}
-            pieces.clear()
-            if len(short) <= KEPT_PIECES // 2:
-                pieces.update(short)
+        short = {p: ids for p, ids in own.held.items() if len(p) <= SHORT}
+        own.held.clear()
+        if len(short) <= KEPT_PIECES // 2:
+            own.held.update(short)
 
 
 def public_path(name: str) -> str:

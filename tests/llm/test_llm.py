@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -546,6 +547,48 @@ def test_tokenizer_agrees_with_the_library(spark, sf_dir, name, monkeypatch):
         assert fast.ids(t) == fast.whole(t), t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizer_of_many_texts_agrees_with_the_library(spark, sf_dir, name, monkeypatch):
+    fast = tokens.FastTokenizer(tokens.public_path(name))
+    texts = [*TRICKY, None, *(r["text"] for r in documents(spark, sf_dir).select("text").collect()), *TRICKY, "a'", "$$$ a$$$ 'tis it's'", "x 1.2.3.4 y-z\n(a) b!!\n7"]
+    want = [fast.whole(t or "") for t in texts]
+    for kept, chars, call in ((600_000, 10**9, 8_192), (600_000, 1, 8_192), (300, 5_000, 7)):
+        monkeypatch.setattr(tokens, "KEPT_PIECES", kept)
+        monkeypatch.setattr(tokens, "GROUP_CHARS", chars)
+        monkeypatch.setattr(tokens, "CALL", call)
+        monkeypatch.setattr(tokens, "JOINED", 3)
+        assert list(tokens.FastTokenizer(tokens.public_path(name)).each(texts)) == want
+    assert list(fast.each([])) == []
+
+
+class Counted:
+    """A tokenizer that counts calls and characters of its texts."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls, self.chars = tokenizer, 0, 0
+
+    def encode(self, text, **options):
+        return self.encode_batch_fast([text], **options)[0]
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls, self.chars = self.calls + 1, self.chars + sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_library_gets_each_word_once(name):
+    """Whatever marks follow it, in however many texts; a few calls do for all of them."""
+    fast = tokens.FastTokenizer(tokens.public_path(name))
+    fast.tokenizer = counted = Counted(fast.tokenizer)
+    words = ["".join(p) for p in itertools.permutations("abcde")]
+    marks = ["", ".", ",", "$$$", ".***", "!!", ",%%%", "&&&"]
+    texts = ["so " + " ".join(w + marks[(i + k) % len(marks)] for i, w in enumerate(words[k % 7 :])) for k in range(200)]
+    got = list(fast.each(texts))
+    assert counted.calls < 20
+    assert counted.chars < 1.1 * sum(len(w) + 1 for w in words)
+    assert got == [fast.whole(t) for t in texts]
+
+
 def library_ids(name, text, end):
     from tokenizers import Tokenizer
 
