@@ -190,11 +190,11 @@ def write_token_files(
 
         held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tok.each(batch.column(1).to_pylist()), strict=True):
                 if size >= block_ids:
                     yield block(held)
                     held, size = [], 0
-                held.append((doc_id, tok.ids(text or "") + end))
+                held.append((doc_id, ids + end))
                 size += len(held[-1][1]) // 4
         if held:
             yield block(held)

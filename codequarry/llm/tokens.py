@@ -60,7 +60,7 @@ class FastTokenizer:
         # Which pieces are safe depends on the file: blanks kept with the next word, or all dropped.
         sample = tuple(s for s, _ in pre.pre_tokenize_str("a b\nc")) if pre else ()
         self.kind = {("a", "Ġb", "Ċ", "c"): "blank-first", ("a", "b", "c"): "dropped"}.get(sample)
-        # What stands between pieces whose ends their tokens don't show: one token that no piece holds.
+        # What stands between pieces whose ends their tokens don't show: one token. Pieces that hold it go alone.
         self.between = {"blank-first": "\n", "dropped": " |"}.get(self.kind, "")
         mark = self._encode([self.between.strip(" ")]).tolist() if self.kind else []
         if len(mark) != 1:
@@ -128,6 +128,8 @@ class FastTokenizer:
                 marked.append((p, base))
                 if base not in self.held:
                     words[base] = None
+            elif self.between.strip(" ") in p[1:]:
+                self.held[p] = self.whole(p)
             else:
                 mixed.append(p)
         if self.kind == "blank-first":
@@ -155,7 +157,7 @@ class FastTokenizer:
         if self.kind is None or "<|" in text or not _plain(text):
             return False
         if self.kind == "dropped":
-            return "|" not in text and "İ" not in text
+            return "İ" not in text
         return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n")
 
     def _cut(self, texts: list[str]) -> Iterator[bytes]:
@@ -172,7 +174,7 @@ class FastTokenizer:
         places = np.flatnonzero((data == 32) | (data == 10))
         bounds = np.append(places, len(flat)).astype(np.int64)
         cut = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(bounds), pa.py_buffer(flat)).dictionary_encode()
-        own = pa.array(self._pieces(cut.dictionary.to_pylist()), pa.large_binary()).take(cut.indices)
+        own = pa.array(self._pieces(cut.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(cut.indices)
         _, ends, ids = own.buffers()
         starts = np.cumsum([0] + [len(r) + 1 for r in raws])
         at = np.frombuffer(ends, np.int64)[: len(own) + 1][np.searchsorted(places, starts)]

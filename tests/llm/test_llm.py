@@ -550,7 +550,7 @@ def test_tokenizer_agrees_with_the_library(spark, sf_dir, name, monkeypatch):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokenizer_of_many_texts_agrees_with_the_library(spark, sf_dir, name, monkeypatch):
     fast = tokens.FastTokenizer(tokens.public_path(name))
-    texts = [*TRICKY, None, *(r["text"] for r in documents(spark, sf_dir).select("text").collect()), *TRICKY, "a'", "$$$ a$$$ 'tis it's'", "x 1.2.3.4 y-z\n(a) b!!\n7"]
+    texts = [*TRICKY, None, *(r["text"] for r in documents(spark, sf_dir).select("text").collect()), *TRICKY, "a'", "$$$ a$$$ 'tis it's'", "x 1.2.3.4 y-z\n(a) b!!\n7", "a|b |c d| || e|.\n|f"]
     want = [fast.whole(t or "") for t in texts]
     for kept, chars, call in ((600_000, 10**9, 8_192), (600_000, 1, 8_192), (300, 5_000, 7)):
         monkeypatch.setattr(tokens, "KEPT_PIECES", kept)
@@ -575,7 +575,7 @@ class Counted:
         return self.tokenizer.encode_batch_fast(texts, **options)
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_library_gets_each_word_once(name):
     """Whatever marks follow it, in however many texts; a few calls do for all of them."""
     fast = tokens.FastTokenizer(tokens.public_path(name))
