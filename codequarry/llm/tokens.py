@@ -21,14 +21,14 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces that a task keeps, about 150 MB. Between tasks a worker keeps the short ones,
+#: Distinct pieces that a task keeps, about 75 MB. Between tasks a worker keeps the short ones,
 #: which recur most.
-KEPT_PIECES, SHORT = 600_000, 9  # with the blank before
+KEPT_PIECES, SHORT = 300_000, 9  # with the blank before
 #: Runs of marks that are kept, and the marks.
 KEPT_TAILS, MARKS = 10_000, string.punctuation
 #: Characters that are cut at once (one text at least), pieces that go to the library in a call,
 #: and those of them that stand side by side in one of its texts.
-GROUP_CHARS, CALL, JOINED = 4_000_000, 8_192, 64
+GROUP_CHARS, CALL, JOINED = 2_000_000, 8_192, 64
 
 # Beyond U+024F, or control separators that engines class differently.
 _BEYOND = re.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -221,6 +221,7 @@ def tokenizer(path: str) -> Iterator[FastTokenizer]:
         own.held.clear()
         if len(short) <= KEPT_PIECES // 2:
             own.held.update(short)
+        pa.default_memory_pool().release_unused()
 
 
 def public_path(name: str) -> str:
