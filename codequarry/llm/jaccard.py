@@ -43,6 +43,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,9 @@ BROADCAST_ROWS = 250_000
 BLOCK_GRAMS, BLOCK_CLASSES, MANY = 60_000, 600, 64
 #: Grams and classes of a share when sketches are compared, and words of sketches compared at once.
 SKETCH_GRAMS, SKETCH_CLASSES, CELLS = 4_000_000, 1_500, 1 << 21
+#: Bytes of a batch that goes to a Python worker. Spark's own bound is 64 MB, which the executor holds
+#: twice while the batch grows, and the worker again for as long as it reads the batch.
+BATCH_BYTES = 4 << 20
 #: DivideSkip's constant: what a probe costs against an entry that goes through the heap.
 MU = 0.0005
 #: Long lists probed between two looks at which candidates can still link.
@@ -342,6 +346,35 @@ def _search_block(
         yield index[i].node, index[roots.find(i)].node, int(links[i])
 
 
+#: The session's bound on the bytes of a batch, and its units.
+_BATCH, _UNITS = "spark.sql.execution.arrow.maxBytesPerBatch", {"": 0, "k": 10, "m": 20, "g": 30}
+
+
+def _batched(df: DataFrame) -> DataFrame:
+    """``checkpointed``, with batches of at most ``BATCH_BYTES`` and a row, or less if the session says so."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH, None)
+    said = re.fullmatch(r"(\d+)([kmg]?)b?", (before or "").strip().lower())
+    if said and 0 < int(said[1]) << _UNITS[said[2]] <= BATCH_BYTES:
+        return checkpointed(df)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return checkpointed(df)
+    finally:
+        if before is None:
+            conf.unset(_BATCH)
+        else:
+            conf.set(_BATCH, before)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of the batches; each becomes Python values when its turn comes, not a batch at a time."""
+    for batch in batches:
+        columns = batch.columns
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in columns)
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows stay under the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -386,7 +419,7 @@ def _link(source: DataFrame, unique: bool, words: int, threshold: Threshold, blo
             )
 
     said = source.select("_id", "_text", "_rid")
-    measured = checkpointed(said.mapInArrow(measure, f"_id {id_type}, _rid long, n long, mark binary, sketch binary, parts array<long>"))
+    measured = _batched(said.mapInArrow(measure, f"_id {id_type}, _rid long, n long, mark binary, sketch binary, parts array<long>"))
     filled = measured.where("n > 0")
     # Classes of equal sets; the smallest row number of a class is its node.
     first = lambda rid: F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), rid.alias("rid"))
@@ -552,8 +585,7 @@ def _sieve(members: DataFrame, threshold: Threshold, tasks: int) -> DataFrame:
             found.clear()
             return out
 
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for (block, r, s), group in itertools.groupby(rows, lambda row: row[:3]):
+        for (block, r, s), group in itertools.groupby(_rows(batches), lambda row: row[:3]):
             sides: tuple = (([], [], []), ([], [], []))
             for row in group:
                 for column, value in zip(sides[row[3]], row[4:], strict=True):
@@ -569,7 +601,7 @@ def _sieve(members: DataFrame, threshold: Threshold, tasks: int) -> DataFrame:
         if found:
             yield flush()
 
-    return checkpointed(dealt.mapInArrow(sieve, "a long, node long").distinct())
+    return _batched(dealt.mapInArrow(sieve, "a long, node long").distinct())
 
 
 def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Threshold, words: int, tasks: int) -> DataFrame:
@@ -589,16 +621,12 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
         def flush() -> pa.RecordBatch:
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             out.clear()
             return pa.RecordBatch.from_arrays(columns, names=["node", "label", "links"])
 
-        stream = rows()
+        stream = _rows(batches)
         row = next(stream, None)
         while row is not None:
             key, index = row[:3], []
@@ -623,7 +651,7 @@ def _search(source: DataFrame, placed: DataFrame, n_placed: int, threshold: Thre
         if out:
             yield flush()
 
-    return checkpointed(dealt.mapInArrow(search, "node long, label long, links long"))
+    return _batched(dealt.mapInArrow(search, "node long, label long, links long"))
 
 
 def drop_near_copies(

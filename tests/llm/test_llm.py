@@ -437,6 +437,40 @@ def test_index_sets_long_lists_aside(monkeypatch):
     assert len(merged) == 1 and merged[0] < 50 * 20 and sum(probed) > 80
 
 
+def test_jaccard_holds_small_batches(spark, monkeypatch):
+    """A worker gets few bytes at a time, in the three stages that read texts, sketches and sets, and makes a row at a time of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def size(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes])})
+
+    large = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text")).mapInArrow(size, "n long")
+    most = lambda df: df.agg(F.max("n")).first()[0]
+    key, first = jaccard._BATCH, spark.conf.get(jaccard._BATCH, None)
+    assert most(jaccard.checkpointed(large)) > 2 * jaccard.BATCH_BYTES >= most(jaccard._batched(large))
+    assert spark.conf.get(key, None) == first
+    try:
+        for less in ("100k", "200000"):
+            spark.conf.set(key, less)
+            assert most(jaccard._batched(large)) < 400_000 and spark.conf.get(key) == less
+    finally:
+        spark.conf.unset(key)
+    batch = pa.record_batch({"node": pa.array(range(400)), "own": pa.array([bytes(50_000)] * 400, pa.binary())})
+    tracemalloc.start()
+    assert sum(len(own) for _, own in jaccard._rows(iter([batch]))) == 20_000_000
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+    bounded, kept = [], jaccard._batched
+    monkeypatch.setattr(jaccard, "_batched", lambda df: bounded.append(df.columns) or kept(df))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:k] + ["y"] + words[k + 1 :])) for k in range(0, 40, 20)]
+    assert {r["component_id"] for r in jaccard.link_documents(frame(spark, rows), 1, (85, 100)).collect()} == {0}
+    assert [c[-1] for c in bounded] == ["parts", "node", "links"]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7)]
